@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import columns, table
 
@@ -30,6 +29,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read_media, store_media
+
+    return read_media(*store_media(columns(table(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import REPLY, linked, turns_as_calls
+
+    return linked(turns_as_calls(columns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")), REPLY)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -37,14 +48,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import scores
+
+    return scores(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    return secrets(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), columns(table(spark, sf_dir, "benchmark"), "item_id", "text")).drop("th")
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pii
+
+    return pii(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_simhash, op5_toxicity, op8_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_simhash, op3_media, op4_chat, op5_toxicity, op6_suffix_tree, op7_secrets, op8_packing, op9_decontamination, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
