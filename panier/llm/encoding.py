@@ -49,16 +49,12 @@ class Encoder:
             self.new[key] = self.whole(marks)
         return self.new[key]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the pieces in the cache, of which the older half goes when it is full.  Marks after a letter always are tokens of their own."""
-        if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, {}
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts new pieces in the cache, of which the older half goes when it is full.  Marks after a letter always are tokens of their own."""
         known, old = self.new, self.old
-        ask: dict[str, None] = {}
+        ask: set[str] = set()
         split: list[tuple[str, str, str]] = []
         for p in pieces:
-            if p in known:
-                continue
             if p in old:
                 known[p] = old[p]
                 continue
@@ -71,7 +67,7 @@ class Encoder:
                     known[core] = old[core]
                     continue
                 p = core
-            ask[p] = None
+            ask.add(p)
         if ask:
             self._ask(list(ask))
         for p, core, tail in split:
@@ -82,14 +78,14 @@ class Encoder:
             return b""
         # A line's first piece keeps its newline; the text's own first piece borrows one.
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:] if self.keeps_space else text.replace("\n", " ").split(" ")
-        if len(pieces) != len(text.split()) or "" in pieces or "\n" in pieces:
+        different = set(pieces)
+        if len(pieces) != len(text.split()) or "" in different or "\n" in different:
             return self.whole(text)
-        size = self.newline
-        try:
-            return b"".join(map(self.new.__getitem__, pieces))[size:]
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.new.__getitem__, pieces))[size:]
+        if len(self.new) > self.most // 2:
+            self.old, self.new = self.new, {}
+        if missing := different.difference(self.new):
+            self._learn(missing)
+        return b"".join(map(self.new.__getitem__, pieces))[self.newline :]
 
 
 _encoders: dict[str, Encoder] = {}
