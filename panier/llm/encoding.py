@@ -8,6 +8,7 @@ space go to the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
@@ -17,7 +18,7 @@ TAIL = ".,!?;:"
 class Encoder:
     """``bytes_of(text)``: the ids, little-endian, in the smallest unsigned type that holds the vocabulary."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -25,6 +26,7 @@ class Encoder:
         self.tok.encode_special_tokens = True
         n = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # the machine is little-endian, as the files are
         self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -40,7 +42,7 @@ class Encoder:
         lead = " " if self.keeps_space else ""
         texts = [p if p[0] == "\n" else lead + p for p in pieces]
         for p, e in zip(pieces, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.new[p] = np.asarray(e.ids, self.dtype).tobytes()
+            self.new[p] = array(self.code, e.ids).tobytes()
 
     def _bare(self, marks: str) -> bytes:
         """The ids of marks that directly follow a letter."""
