@@ -26,7 +26,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return near_duplicates(columns(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("key", "keep")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,14 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_files, op2_simhash, op3_media, op4_chat, op5_toxicity, op6_suffix_tree, op7_secrets, op8_packing, op9_decontamination, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_token_files, op2_simhash, op3_media, op4_chat, op5_toxicity, op6_suffix_tree, op7_secrets, op8_packing, op9_decontamination, op10_pseudonyms, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

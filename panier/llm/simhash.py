@@ -66,15 +66,20 @@ def fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary), n (shingles)."""
+    """doc_id, key (a hash of doc_id and text, equal for equal rows), fp (binary), n (shingles)."""
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "fp", "n"])
+            got = [fingerprint(t, shingle, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "key", "fp", "n"])
 
     common.tune(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp binary, n long")
+    doc_id, text = docs[id_col].cast("long"), docs[text_col]
+    return docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key long, fp binary, n long")
+
+
+def row_key(doc_id, text):
+    return F.xxhash64(doc_id, text)
 
 
 def _tile_of(words: int):
@@ -208,14 +213,16 @@ def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, bloc
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, ratio: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id and n_linked (distinct fingerprints of the component)."""
+    """doc_id, fingerprint (hex), component_id, n_linked (distinct fingerprints of the component), key, and keep: whether the row's
+    key is that of the component's first document."""
     rows = common.written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")), "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    distinct = common.written(rows.groupBy("fp").agg(first, F.min("n").alias("n")), "distinct")
     roots = components(common.written(links(distinct.select("fp", "n"), words, radius, ratio), "near"))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = known.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_linked"))
-    of = common.written(known.join(ids, "root").select("fp", "component_id", "n_linked"), "classes")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_linked")
+    ids = known.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_linked"))
+    of = common.written(known.drop("first").join(ids, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first"), "n_linked"), "classes")
+    return rows.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_linked", "key", (F.col("key") == F.col("first")).alias("keep"))
 
 
 def radius_for(similarity: float, bits: int) -> int:
