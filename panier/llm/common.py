@@ -124,6 +124,27 @@ def rename_file(old: str, new: str) -> None:
     store.move(path, fs.FileSystem.from_uri(new)[1])
 
 
+def exists(uri: str) -> bool:
+    if _is_local(uri):
+        return os.path.exists(plain(uri))
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.get_file_info(path).type == fs.FileType.File
+
+
+def delete_file(uri: str) -> None:
+    """Deletes a file; none there is no error."""
+    if _is_local(uri):
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(plain(uri))
+    elif exists(uri):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        store.delete_file(path)
+
+
 def sink(uri: str):
     """A binary file to append to; the caller renames it when it is complete."""
     if _is_local(uri):

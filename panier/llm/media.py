@@ -129,20 +129,24 @@ def _chunked(root: str):
 
 
 def _compacted(root: str):
-    """Copies a pack's own chunks; ``ids`` are their offsets, in order."""
+    """Copies a pack's own chunks to its place in the store and deletes the pack, so that no more than a few are there twice.
+
+    What it returns follows from the sizes alone, so a task that runs again after its pack is gone returns the same."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("offset")
         pack = int(df["pack"].iloc[0])
-        raw = common.mapped(_pack_name(root, "raw", pack), np.uint8)
-        name = _pack_name(root, "store", pack)
-        half = f"{name}.{TaskContext.get().taskAttemptId()}.half"
-        out = common.sink(half)
+        old, name = _pack_name(root, "raw", pack), _pack_name(root, "store", pack)
         at = np.concatenate([[0], np.cumsum(df["size"].to_numpy())])
-        for lo, n in zip(df["offset"], df["size"], strict=True):
-            out.write(raw[lo : lo + n].tobytes())
-        out.close()
-        common.rename_file(half, name)
+        if not common.exists(name):  # else an earlier attempt came as far as this
+            raw = common.mapped(old, np.uint8)
+            half = f"{name}.{TaskContext.get().taskAttemptId()}.half"
+            out = common.sink(half)
+            for lo, n in zip(df["offset"], df["size"], strict=True):
+                out.write(raw[lo : lo + n].tobytes())
+            out.close()
+            common.rename_file(half, name)
+        common.delete_file(old)
         return pd.DataFrame({"digest": df["digest"], "pack": df["pack"], "offset": at[:-1], "size": df["size"]})
 
     return run
@@ -158,8 +162,6 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     owners = here.groupBy("digest").agg(F.min(F.struct("pack", "offset", "size")).alias("o")).select("digest", "o.*")
     # A group is the chunks of one task's input: bounded by the size of a partition.
     index = common.written(owners.groupBy("pack").applyInPandas(_compacted(root), "digest binary, pack int, offset long, size int"), "chunk-index")
-    for pack in [r[0] for r in here.select("pack").distinct().collect()]:  # a row per task
-        common.remove(spark, _pack_name(root, "raw", pack))
     # Equal files have equal lists: a list is put together once for each file, then joined to the documents.
     files = lists.groupBy("media_sha256").agg(F.first("chunks").alias("chunks"))
     ordered = (
