@@ -66,14 +66,16 @@ def next_level(items: DataFrame, level1: DataFrame, below: DataFrame, k: int, mu
     else:
         start = F.array(F.struct(F.array().cast("array<string>").alias("s"), F.lit(1).cast("long").alias("w")))
 
+        def extended(acc, x, m):
+            """The combinations so far with m times the item added, where the basket has as many and there is room."""
+            fits = F.filter(acc, lambda c: (F.size(c["s"]) + m <= k) & (x["n"] >= m))
+            ways = binomial(F.least(x["n"], F.lit(k).cast("long")), m)
+            return F.transform(fits, lambda c: F.struct(F.concat(c["s"], F.array(*[x["item"]] * m)).alias("s"), (c["w"] * ways).alias("w")))
+
         def add(acc, x):
             out = acc
             for m in range(1, k + 1):
-                more = F.transform(
-                    F.filter(acc, lambda c, m=m: (F.size(c["s"]) + m <= k) & (x["n"] >= m)),
-                    lambda c, m=m: F.struct(F.concat(c["s"], F.array(*[x["item"]] * m)).alias("s"), (c["w"] * binomial(F.least(x["n"], F.lit(k).cast("long")), m)).alias("w")),
-                )
-                out = F.concat(out, more)
+                out = F.concat(out, extended(acc, x, m))
             return out
 
         combos = F.aggregate("bag", start, add)
