@@ -16,11 +16,11 @@ import numpy as np
 READS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 COST_READ, COST_SKIP_SIGN, COST_SKIP_MARK = 0.2, 4.0, 0.3
 COST_SKIP_REPEAT, COST_SKIP_DOUBLE, COST_KEEP_REPEAT = 0.3, 2.5, 2.0
-SPAN = re.compile(
-    r"(?<!\w)(?:[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,})(?!\w)"  # s p a c e d
-    r"|(?=[\w@$!|+(.*\-]*[^\W\d_])(?=[\w@$!|+(.*\-]*[0-9@$!|+(*_])[^\W_0-9]*[0-9@$!|+(*._\-]+[\w@$!|+(.*\-]*[\w@$*]"  # l33t and m*a*r*k*s
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # looong
-)
+SPACED = r"(?<!\w)(?:[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,})(?!\w)"
+MIXED = r"(?<![\w@$!|+(*])(?=[\w@$!|+(.*\-]*?[^\W\d_])(?=[\w@$!|+(.*\-]*?[0-9@$!|+(*_.\-])[^\W_0-9]*[0-9@$!|+(*._\-]+[\w@$!|+(.*\-]*[\w@$*]"
+LONG = r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
+SPAN = re.compile(f"{SPACED}|{MIXED}|{LONG}")
+SIGN, POINT, SINGLE = re.compile(r"[0-9@$!|+(*_\-]"), re.compile(r"\.[^\W\d_]"), re.compile(SPACED)
 BASE, SIZE = 64, 64**3
 #: Code points with a class of their own in the model; all others are boundaries.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýß"
@@ -43,6 +43,16 @@ def trigram_counts(texts: list[str], table: np.ndarray) -> np.ndarray:
     return np.bincount((code[:-2] * BASE + code[1:-1]) * BASE + code[2:], minlength=SIZE)
 
 
+def suspicious(text: str) -> bool:
+    """Whether a text can hold a span at all: a sign or digit, a point within a word, a letter three times, or lone letters."""
+    if SIGN.search(text) or POINT.search(text):
+        return True
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(p) > 2 and ((p[2:] == p[1:-1]) & (p[2:] == p[:-2]) & (p[2:] > 64)).any():
+        return True
+    return bool(SINGLE.search(text))
+
+
 class Model:
     """Log-probabilities of a letter class after two others, from counts with a backoff to shorter contexts."""
 

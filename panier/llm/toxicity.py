@@ -50,8 +50,9 @@ def words(text: str, model: deobfuscation.Model) -> Counter:
     """The words of the text as it stands and of its disguised spans as restored, with counts."""
     plain = text.lower()
     out = Counter(WORD.findall(plain))
-    for m in deobfuscation.SPAN.finditer(plain):
-        out.update(WORD.findall(model.decode(m.group())))
+    if deobfuscation.suspicious(plain):
+        for m in deobfuscation.SPAN.finditer(plain):
+            out.update(WORD.findall(model.decode(m.group())))
     return out
 
 
@@ -59,16 +60,33 @@ def _beginnings(word: str) -> list[str]:
     return [word[:n] + "*" for n in (4, 5, 6) if len(word) >= n]
 
 
-def evidence(text: str | None, model: deobfuscation.Model, weights: dict[str, float]) -> list[float]:
+class Weights:
+    """Each word's strongest feature; words without any are remembered, up to a number, as they come again and again."""
+
+    def __init__(self, weights: dict[str, float], most: int = 1_000_000):
+        self.weights, self.most = weights, most
+        self.none: set[str] = set()
+
+    def of(self, found: Counter) -> list[tuple[str, float]]:
+        if len(self.none) > self.most:
+            self.none.clear()
+        out, get = [], self.weights.get
+        for w in found.keys() - self.none:
+            p = max(get(w, 0.0), get(w[:4] + "*", 0.0), get(w[:5] + "*", 0.0), get(w[:6] + "*", 0.0))
+            if p:
+                out.append((w, p))
+            else:
+                self.none.add(w)
+        return out
+
+
+def evidence(text: str | None, model: deobfuscation.Model, weights: Weights) -> list[float]:
     """Strongest and second word, number and density of words of some weight, sum and density of weights."""
-    found, size, total, hits, best = words(text or "", model), 0, 0.0, 0, [0.0, 0.0]
-    for w, n in found.items():
-        size += n
-        p = max([weights.get(x, 0.0) for x in (w, *_beginnings(w))])
-        if p:
-            hits += n
-            total += n * p
-            best = sorted([*best, p])[1:]
+    found = words(text or "", model)
+    size, strong = found.total(), sorted(weights.of(found))
+    hits = sum(found[w] for w, _ in strong)
+    total = sum(found[w] * p for w, p in strong)
+    best = sorted([0.0, 0.0, *(p for _, p in strong)])[-2:]
     return [best[1], best[0], np.log1p(hits), 10 * hits / (size + 10), np.log1p(total), 10 * total / (size + 10)]
 
 
@@ -114,9 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = TR
     half = _weights(texts.where("half = 0"), counts)
 
     def run(batches):
-        model = deobfuscation.Model(counts)
+        model, own = deobfuscation.Model(counts), Weights(half)
         for b in batches:
-            got = [evidence(t, model, half) for t in b.column("text").to_pylist()]
+            got = [evidence(t, model, own) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), b.column("label")], names=["x", "label"])
 
     fitted = texts.where("half = 1").select("text", "label").mapInArrow(run, "x array<double>, label int").collect()  # at most `rows` rows of six numbers
@@ -134,9 +152,9 @@ def scores(docs: DataFrame, counts: np.ndarray, weights: dict[str, float], coef:
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.select(*keep).dtypes] + ["score double"])
 
     def run(batches):
-        model = deobfuscation.Model(counts)
+        model, own = deobfuscation.Model(counts), Weights(weights)
         for b in batches:
-            x = np.array([evidence(t, model, weights) for t in b.column("_text_").to_pylist()]).reshape(-1, len(coef) - 1)
+            x = np.array([evidence(t, model, own) for t in b.column("_text_").to_pylist()]).reshape(-1, len(coef) - 1)
             got = 1 / (1 + np.exp(-np.clip((x * coef[:-1]).sum(1) + coef[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
 
