@@ -30,7 +30,8 @@ from . import common
 ORDER = 5
 SYMBOLS = 64  # 0: boundary, 1 to 62: characters, 63: any other
 ESCAPE = math.log10(0x110000)
-MIN_SHARE, MIN_GAIN, SMOOTH = 2e-6, 12.0, 4.0
+MIN_SHARE, MIN_GAIN, SMOOTH = 2e-5, 12.0, 4.0
+STRIP = 4096  # contexts at a time when the tree is built
 HOT = 50_000
 DEAD = 2.0**-60
 
@@ -127,21 +128,28 @@ class Tree:
         for k in range(ORDER + 1):
             at = length == k
             own, where = np.unique(ctx[at], return_inverse=True)
-            table = np.zeros((max(1, len(own)), SYMBOLS))
-            np.add.at(table, (where, nxt[at]), counts[at])
             if k == 0:
-                base = (table[0] + 1) / (table[0].sum() + SYMBOLS)
+                n = np.bincount(nxt[at], weights=counts[at], minlength=SYMBOLS)
                 self.contexts.append(np.zeros(1, np.int64))
-                self.rows.append(base[None])
+                self.rows.append(((n + 1) / (n.sum() + SYMBOLS)).astype(np.float32)[None])
                 continue
-            parent = self._longest(own, k - 1)
-            n = table.sum(1)[: len(own), None]
-            smooth = (table[: len(own)] + SMOOTH * parent) / (n + SMOOTH)
-            raw = table[: len(own)] / np.maximum(n, 1)
-            gain = (n * np.where(raw > 0, raw * np.log2(np.maximum(raw, DEAD) / parent), 0)).sum(1)
-            keep = gain >= MIN_GAIN
-            self.contexts.append(own[keep])
-            self.rows.append(smooth[keep])
+            order = np.argsort(where, kind="stable")
+            where, symbol, number = where[order], nxt[at][order], counts[at][order]
+            keys, rows = [np.empty(0, np.int64)], [np.empty((0, SYMBOLS), np.float32)]
+            for lo in range(0, len(own), STRIP):
+                some = own[lo : lo + STRIP]
+                a, b = np.searchsorted(where, (lo, lo + len(some)))
+                table = np.zeros((len(some), SYMBOLS))
+                np.add.at(table, (where[a:b] - lo, symbol[a:b]), number[a:b])
+                parent = self._longest(some, k - 1)
+                n = table.sum(1)[:, None]
+                raw = table / n
+                gain = (n * np.where(raw > 0, raw * np.log2(np.maximum(raw, DEAD) / parent), 0)).sum(1)
+                keep = gain >= MIN_GAIN
+                keys.append(some[keep])
+                rows.append(((table + SMOOTH * parent) / (n + SMOOTH))[keep].astype(np.float32))
+            self.contexts.append(np.concatenate(keys))
+            self.rows.append(np.concatenate(rows))
 
     def _longest(self, ctx: np.ndarray, most: int) -> np.ndarray:
         out = np.tile(self.rows[0][0], (len(ctx), 1))
@@ -163,11 +171,11 @@ class Tree:
         if not words:
             return np.zeros(0)
         owner, past, reach, nxt = code.keys(words)
-        out = np.log10(self.rows[0][0])[nxt]
+        out = np.log10(self.rows[0][0].astype(float))[nxt]
         for k in range(1, ORDER + 1):
             hit, at = self._find(past, k)
             hit &= reach >= k
-            out[hit] = np.log10(self.rows[k][at[hit], nxt[hit]])
+            out[hit] = np.log10(self.rows[k][at[hit], nxt[hit]].astype(float))
         out -= ESCAPE * (nxt == SYMBOLS - 1)
         return np.bincount(owner, weights=out, minlength=len(words))
 
