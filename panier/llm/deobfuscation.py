@@ -16,9 +16,9 @@ import numpy as np
 READS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 COST_READ, COST_SKIP_SIGN, COST_SKIP_MARK = 0.2, 4.0, 0.3
 COST_SKIP_REPEAT, COST_SKIP_DOUBLE, COST_KEEP_REPEAT = 0.3, 2.5, 2.0
-SPACED = r"(?<!\w)(?:[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,})(?!\w)"
+SPACED = r"(?<!\w)[^\W\d_](?P<gap>[ .\-_*]{1,2})[^\W\d_](?:(?P=gap)[^\W\d_]){2,}(?!\w)"
 MIXED = r"(?<![\w@$!|+(*])(?=[\w@$!|+(.*\-]*?[^\W\d_])(?=[\w@$!|+(.*\-]*?[0-9@$!|+(*_.\-])[^\W_0-9]*[0-9@$!|+(*._\-]+[\w@$!|+(.*\-]*[\w@$*]"
-LONG = r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
+LONG = r"(?<![^\W\d_])[^\W\d_]*?(?P<twice>[^\W\d_])(?P=twice){2}[^\W\d_]*"
 SPAN = re.compile(f"{SPACED}|{MIXED}|{LONG}")
 SIGN, POINT, SINGLE = re.compile(r"[0-9@$!|+(*_\-]"), re.compile(r"\.[^\W\d_]"), re.compile(SPACED)
 BASE, SIZE = 64, 64**3

@@ -88,5 +88,26 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_token_files, op2_simhash, op3_media, op4_chat, op5_toxicity, op6_suffix_tree, op7_secrets, op8_packing, op9_decontamination, op10_pseudonyms, pipeline)}
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, len(x) AS n, x FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda s: w[s:s + 9])) AS x FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, w FROM d, (SELECT DISTINCT n FROM win)), hit AS (SELECT DISTINCT doc_id, s, win.n, item_id FROM dw JOIN win ON win.n = dw.n AND x = w[s:s + dw.n - 1]),
+pos AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit), np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN np USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+OP4 = """WITH c AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
+k AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id FROM c),
+l AS (SELECT k.*, EXISTS (SELECT 1 FROM k o WHERE o.kind = 'call' AND o.call_id = k.call_id) AS called, EXISTS (SELECT 1 FROM k o WHERE o.kind = 'result' AND o.call_id = k.call_id) AS answered FROM k)
+SELECT conv_id, turn AS place, 0 AS depth, turn, 0 AS n, kind, call_id, CASE WHEN kind = 'call' AND NOT answered THEN 'open' WHEN kind = 'result' AND NOT called THEN 'orphan' ELSE 'ok' END AS status, '' AS problems, copies,
+CASE kind WHEN 'call' THEN '{"role":' || to_json(role)::VARCHAR || ',"tool_calls":[{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"reply"}]}'
+WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":' || to_json(call_id)::VARCHAR || '}' ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' END AS json FROM l"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need a tokenizer, a fitted model, a bitwise hash of shingles, a keyed permutation or look-around in patterns."""
+    return {"op4_chat": OP4, "op9_decontamination": OP9}
+
