@@ -35,6 +35,7 @@ def linkage(n: int, pairs, method: str = "average", most: int = 5000) -> np.ndar
             chain.append(y)
         chain.pop()
         chain.pop()
+        x, y = sorted((x, y))  # the merged cluster takes the larger place, which settles ties
         h, nx, ny = d[x, y], size[x], size[y]
         if method == "single":
             new = np.minimum(d[x], d[y])
