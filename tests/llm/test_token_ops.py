@@ -160,7 +160,7 @@ def test_deobfuscation():
     table = deobfuscation.class_table()
     model = deobfuscation.Model(deobfuscation.trigram_counts(["you idiot stop", "such a moron", "pathetic loser", "hello there world"] * 50, table))
     for disguised, plain in [("p@thetic", "pathetic"), ("m0r0n", "moron"), ("1d10t", "idiot"), ("l-o-s-e-r", "loser"), ("i d i o t", "idiot"), ("idiooooot", "idiot"), ("m.o.r.o.n", "moron")]:
-        assert model.restore(f"a {disguised}, b").split(",")[0] == f"a {plain}", disguised
+        assert model.restore(f"so, {disguised}, b").split(", ")[1] == plain, disguised
         assert deobfuscation.suspicious(disguised)
     for same in ("hello there", "4785380592391139 (743) 555-3824", "see you at 10", ""):
         assert model.restore(same) == same
