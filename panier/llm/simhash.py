@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BLOCK = 16384
+#: Rows of a block: of one-word fingerprints, which counts prune well, and of wide ones, which every block more is sent to once more.
+BLOCK, WIDE_BLOCK = 16384, 65536
 SEED = 42
 
 
@@ -178,12 +179,12 @@ def _compare(words: int, radius: int, ratio: float):
     return run
 
 
-def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, block: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp, n): for each pair of tiles a spanning forest of those within the radius.
 
     ``ratio`` 0 tiles by population count of the two halves of a one-word fingerprint; above 0 by bands of shingle counts.
     """
-    spark = distinct.sparkSession
+    block = block or (WIDE_BLOCK if ratio else BLOCK)
     if ratio:
         width = math.log(1 / ratio)
         tiled = distinct.select("fp", "n", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int").alias("x"), F.lit(0).alias("y"))
