@@ -220,3 +220,15 @@ def test_pseudonyms_brute(spark, small):
         assert r.changed or r.text == old[r.doc_id]
 
 
+
+
+def test_suffix_tree_scores_unseen_words_and_order(spark):
+    """Held-out texts of unseen words: well-formed ones score above gibberish, and the order of words matters."""
+    ids = [i for i in range(2000) if crc(i, 7) != 2][:300]
+    test = [i for i in range(2000, 4000) if crc(i, 7) == 2][:4]
+    rows = [(i, "the banana band ran over the big cabana and the bandana sang") for i in ids]
+    rows += list(zip(test, ["bananas", "qxzjwkv", "the big cabana", "cabana big the"], strict=True))
+    got = {r.doc_id: r for r in suffix_tree.scores(docs(spark, rows)).collect()}
+    well, bad, order, mixed = (got[i] for i in test)
+    assert well.n_known == bad.n_known == 1 and well.base_score == bad.base_score and well.open_score > bad.open_score + 5
+    assert abs(order.base_score - mixed.base_score) < 1e-9 and min(order.score - mixed.score, order.open_score - mixed.open_score) > 1
