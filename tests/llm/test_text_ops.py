@@ -232,3 +232,18 @@ def test_suffix_tree_scores_unseen_words_and_order(spark):
     well, bad, order, mixed = (got[i] for i in test)
     assert well.n_known == bad.n_known == 1 and well.base_score == bad.base_score and well.open_score > bad.open_score + 5
     assert abs(order.base_score - mixed.base_score) < 1e-9 and min(order.score - mixed.score, order.open_score - mixed.open_score) > 1
+
+
+def test_suffix_tree_counts_occurrences_and_grows(spark, small):
+    """A context counts as often as it occurs, across words; one of few occurrences is kept however large the corpus."""
+    df = spark.createDataFrame([("ab ab",)] * 5, "text string")
+    alphabet = [ord("a"), ord("b")]
+    n = {r.key: r.n for r in suffix_tree.context_counts(df, alphabet).collect()}
+    assert n[(1 << 42) | (1 << 6) | 2] == 10 and n[(2 << 42) | ((2 << 6) << 6) | 1] == 5
+    import numpy as np
+
+    def sizes(times):
+        keys = np.array([1, 2, 3, (1 << 42) | (1 << 6) | 2])
+        return suffix_tree.Tree([97, 98, 99], keys, np.array([times, 10, 10, 10.0])).size()
+
+    assert sizes(100) == sizes(10**8) == 2
