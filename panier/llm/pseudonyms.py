@@ -3,7 +3,7 @@
 Numbers and dates that validate are permuted within their format by a keyed Feistel network, so that equal values stay equal in all
 documents, different ones stay different, and the result validates as well:
 
-* card numbers (13 to 19 digits of a valid Luhn sum; the first digit is kept),
+* card numbers (13 to 19 digits of a valid Luhn sum, in any groups; the first digit is kept),
 * North American telephone numbers (area and exchange begin with 2 to 9), numbers with another country code (code kept),
 * IPv4 addresses, social security numbers (of the valid areas), dates from 1900 to 2099.
 
@@ -29,11 +29,16 @@ SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?
 DATE = r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}|[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
 ABROAD = r"(?<![0-9A-Za-z+(])\+(?!1[ .(-])[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,5}\)?[ .-]?){1,4}[0-9]{2,5}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"
+# A number without separators; or a run of groups, which ends where one of the other kinds or a number without separators begins.
+COMPACT = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
+DOTTED = r"(?<![0-9A-Za-z])[0-9]{4}(?:\.[0-9]{4,6}){1,3}\.[0-9]{1,7}(?![0-9A-Za-z])"
+#: Digits of a run beyond the first; a longer run is several.
+RUN = rf"(?<![0-9A-Za-z])[0-9](?:[ -]?(?!{IP}|{SSN}|{DATE}|{PHONE}|{COMPACT})[0-9]){{12,400}}(?![0-9A-Za-z])"
+CARD = f"{COMPACT}|{DOTTED}|{RUN}"
 KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "phone": PHONE, "abroad": ABROAD, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What a text needs to be looked at.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9]/[0-9]"
+#: What a text needs to be looked at: no kind is without a digit or the sign of an address.
+HINT = "[0-9@]"
 DATES = (("[0-9]{4}-.*", "yyyy-MM-dd"), ("[0-9]{4}/.*", "yyyy/MM/dd"), (r"[0-9]{2}\..*", "dd.MM.yyyy"), ("[0-9]{2}/.*", "MM/dd/yyyy"))
 
 
@@ -105,6 +110,31 @@ def _card(m: Column, key: str) -> Column:
     return _with(_only_digits(m), lambda d: _filled(m, of(d)))
 
 
+def _pieces(m: Column) -> Column:
+    """A run's groups of digits, those that make up a card number in one piece: an array of structs (s, card)."""
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+[^0-9]?"), F.lit(0))
+
+    def of(g):
+        def valid(i, n):
+            d = _only_digits(F.array_join(F.slice(g, i, n), ""))
+            return F.when(F.length(d).between(13, 19), luhn(d) == 0).otherwise(F.lit(False))
+
+        def add(state, i):
+            # The most groups that are valid together, 0 if none.
+            most = F.greatest(F.lit(0), F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(g) - i + 1)), lambda n: valid(i, n))))
+            piece = lambda n: F.struct((i + F.greatest(n, F.lit(1))).alias("next"), F.concat(state["out"], F.array(F.struct(F.array_join(F.slice(g, i, F.greatest(n, F.lit(1))), "").alias("s"), (n > 0).alias("card")))).alias("out"))
+            return F.when(i < state["next"], state).otherwise(_with(most, piece))
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<s:string,card:boolean>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(g)), start, add)["out"]
+
+    return _with(groups, of)
+
+
+def _cards(m: Column, key: str) -> Column:
+    return F.array_join(F.transform(_pieces(m), lambda x: F.when(x["card"], _card(x["s"], key)).otherwise(x["s"])), "")
+
+
 def _phone(m: Column, key: str) -> Column:
     def of(d):  # d: the last ten digits
         part = lambda i, n: F.substring(d, F.lit(i), F.lit(n)).cast("long")
@@ -164,7 +194,7 @@ def kind_of(m: Column) -> Column:
     out = F.when(m.contains("@"), "email")
     for k, p in KINDS.items():
         if k != "email":
-            valid = _day(m).isNotNull() if k == "date" else luhn(_only_digits(m)) == 0 if k == "card" else F.lit(True)
+            valid = _day(m).isNotNull() if k == "date" else F.exists(_pieces(m), lambda x: x["card"]) if k == "card" else F.lit(True)
             out = out.when(m.rlike(f"^(?:{p})$"), F.when(valid, k))
     return out
 
@@ -172,7 +202,7 @@ def kind_of(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "date", _date(m, key))
-        .when(kind == "phone", _phone(m, key)).when(kind == "abroad", _abroad(m, key)).when(kind == "card", _card(m, key)).otherwise(m)
+        .when(kind == "phone", _phone(m, key)).when(kind == "abroad", _abroad(m, key)).when(kind == "card", _cards(m, key)).otherwise(m)
     )
 
 
@@ -184,9 +214,12 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Da
     marked = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     rows = docs.withColumn("_pii_", marked)
     some = F.size("_pii_") > 0
+    # A run can hold several cards.
+    times = lambda x: F.when(x["kind"] == "card", F.size(F.filter(_pieces(x["m"]), lambda y: y["card"]))).otherwise(F.when(x["kind"].isNull(), 0).otherwise(1))
+    kinds = lambda x: F.array_repeat(x["kind"], times(x))
     new = F.transform("_pii_", lambda x: pseudonym(x["m"], x["kind"], key))
     whole = F.array_join(F.zip_with(F.split(text, ANY), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    return rows.withColumn(text_col, F.when(some, whole).otherwise(text)).withColumn("pii", F.coalesce(F.filter(F.transform("_pii_", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))).drop("_pii_")
+    return rows.withColumn(text_col, F.when(some, whole).otherwise(text)).withColumn("pii", F.coalesce(F.flatten(F.transform("_pii_", kinds)), F.array().cast("array<string>"))).drop("_pii_")
 
 
 def pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

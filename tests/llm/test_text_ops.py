@@ -247,3 +247,21 @@ def test_suffix_tree_counts_occurrences_and_grows(spark, small):
         return suffix_tree.Tree([97, 98, 99], keys, np.array([times, 10, 10, 10.0])).size()
 
     assert sizes(100) == sizes(10**8) == 2
+
+
+def test_pseudonyms_any_card(spark):
+    """Any first digit, any groups, cards beside other numbers: only the Luhn sum decides."""
+
+    def card(body):
+        return next(body + str(i) for i in range(10) if luhn(body + str(i)))
+
+    a, b, c = card("980791576280449"), card("012345678901"), card("411111111111111122")
+    five = " ".join(c[i : i + 4] for i in range(0, 19, 4))
+    grouped = " ".join(a[i : i + 4] for i in range(0, 16, 4))
+    texts = [a, b, five, "3782 822463 10005", f"no 5 {grouped} 0", f"{grouped} 5500 0000 0000 0004", f"{a} 078-05-1120 x", "4111.1111.1111.1111", card(b[:13] + "99"), "9807 9157 6280 4491"]
+    got = {r.doc_id: r for r in pseudonyms.pii(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_card for i in range(len(texts))] == [1, 1, 1, 1, 1, 2, 1, 1, 1, int(luhn("9807915762804491"))]
+    assert got[6].n_ssn == 1 and got[4].text.startswith("no 5 9") and got[4].text.endswith(" 0")
+    for i in (0, 1, 2, 3, 7, 8):
+        assert got[i].text != texts[i] and luhn(got[i].text) and re.sub(r"\d", "d", got[i].text) == re.sub(r"\d", "d", texts[i])
+    assert re.sub(r"\D", "", got[4].text[5:-2]) == got[0].text
