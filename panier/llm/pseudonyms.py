@@ -4,7 +4,8 @@ Numbers and dates that validate are permuted within their format by a keyed Feis
 documents, different ones stay different, and the result validates as well:
 
 * card numbers (13 to 19 digits of a valid Luhn sum, in any groups; the first digit is kept),
-* North American telephone numbers (area and exchange begin with 2 to 9), numbers with another country code (code kept),
+* North American telephone numbers (any after +1, otherwise area and exchange begin with 2 to 9), numbers with another country code
+  (code kept), with separators or without,
 * IPv4 addresses, social security numbers (of the valid areas), dates from 1900 to 2099.
 
 The network alternates additions modulo two halves a and b of a domain of exactly a * b values (dates: 17 * 4297 days), so
@@ -26,9 +27,11 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IP = rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])"
-DATE = r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}|[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
-ABROAD = r"(?<![0-9A-Za-z+(])\+(?!1[ .(-])[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,5}\)?[ .-]?){1,4}[0-9]{2,5}(?![0-9A-Za-z])"
+DATE = r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}|[0-3][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2})(?![0-9A-SU-Za-z/-]|T(?![0-9]{2}:)|\.[0-9])"
+PHONE = r"(?<![0-9A-Za-z+])\+1(?:[ .-]{0,2}\(?[0-9]\)?){10}(?![0-9A-Za-z])|(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+ABROAD = r"(?<![0-9A-Za-z+])\+(?!1[ .(-])[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{1,5}\)?[ .-]?){1,4}[0-9]{2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[2-9](?:[ .-]{0,2}\(?[0-9]\)?){6,14}(?![0-9A-Za-z])"
+#: Country codes of one and two digits; all others have three.
+CODES = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 # A number without separators; or a run of groups, which ends where one of the other kinds or a number without separators begins.
 COMPACT = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 DOTTED = r"(?<![0-9A-Za-z])[0-9]{4}(?:\.[0-9]{4,6}){1,3}\.[0-9]{1,7}(?![0-9A-Za-z])"
@@ -39,7 +42,7 @@ KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "phone": PHONE, "ab
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text needs to be looked at: no kind is without a digit or the sign of an address.
 HINT = "[0-9@]"
-DATES = (("[0-9]{4}-.*", "yyyy-MM-dd"), ("[0-9]{4}/.*", "yyyy/MM/dd"), (r"[0-9]{2}\..*", "dd.MM.yyyy"), ("[0-9]{2}/.*", "MM/dd/yyyy"))
+DATES = (("[0-9]{4}-.*", "yyyy-MM-dd"), ("[0-9]{4}/.*", "yyyy/MM/dd"), (r"[0-9]{2}\..*", "dd.MM.yyyy"), ("[0-9]{2}/.*", "dd/MM/yyyy"), ("(?:0[0-9]|1[0-2])/.*", "MM/dd/yyyy"))
 
 
 def _random(key: str, kind: str, turn: Column, half: Column, modulus: Column) -> Column:
@@ -138,15 +141,20 @@ def _cards(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     def of(d):  # d: the last ten digits
         part = lambda i, n: F.substring(d, F.lit(i), F.lit(n)).cast("long")
-        new = feistel(part(1, 3) - 200, (part(4, 3) - 200) * 10000 + part(7, 4), F.lit(800), F.lit(8_000_000), key, "phone")
-        return _with(new, lambda x: F.concat((x["l"] + 200).cast("string"), (F.floor(x["r"] / 10000) + 200).cast("string"), _padded(x["r"] % 10000, F.lit(4))))
+        # Numbers of valid areas and exchanges are permuted among themselves, and so are those of other areas, and of other exchanges.
+        line = part(4, 3) * 10000 + part(7, 4)
+        least, a = F.when(part(1, 3) < 200, 0).otherwise(200), F.when(part(1, 3) < 200, 200).otherwise(800)
+        first = F.when((part(1, 3) >= 200) & (part(4, 3) >= 200), 2_000_000).otherwise(0)
+        b = F.when(part(1, 3) < 200, 10_000_000).when(part(4, 3) < 200, 2_000_000).otherwise(8_000_000)
+        new = feistel(part(1, 3) - least, line - first, a, b, key, "phone")
+        return _with(new, lambda x: F.concat(_padded(x["l"] + least, F.lit(3)), _padded(x["r"] + first, F.lit(7))))
 
     return _with(_only_digits(m), lambda d: _filled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), of(F.substring(d, F.length(d) - 9, F.lit(10))))))
 
 
 def _abroad(m: Column, key: str) -> Column:
-    code = F.length(F.regexp_extract(m, r"\+([0-9]+)", 1))
-    return _with(_only_digits(m), lambda d: _filled(m, F.concat(F.substring(d, F.lit(1), code), digits(F.substring(d, code + 1, F.length(d) - code), key, "abroad"))))
+    length = lambda d: F.when(d.rlike("^[17]"), 1).when(d.rlike(f"^{CODES}"), 2).otherwise(3)
+    return _with(_only_digits(m), lambda d: _with(length(d), lambda code: _filled(m, F.concat(F.substring(d, F.lit(1), code), digits(F.substring(d, code + 1, F.length(d) - code), key, "abroad")))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -168,7 +176,7 @@ def _day(m: Column) -> Column:
     """Days since 1900-01-01, or null where there is no such date."""
     out = F.lit(None).cast("date")
     for shape, form in DATES:
-        out = F.when(m.rlike(f"^{shape}$"), F.try_to_timestamp(m, F.lit(form)).cast("date")).otherwise(out)
+        out = F.coalesce(F.when(m.rlike(f"^{shape}$"), F.try_to_timestamp(m, F.lit(form)).cast("date")), out)
     return F.datediff(out, F.lit("1900-01-01").cast("date"))
 
 
@@ -179,7 +187,7 @@ def _date(m: Column, key: str) -> Column:
     def shaped(d):
         out = F.lit(None).cast("string")
         for shape, form in DATES:
-            out = F.when(m.rlike(f"^{shape}$"), F.date_format(d, form)).otherwise(out)
+            out = F.when(m.rlike(f"^{shape}$") & F.try_to_timestamp(m, F.lit(form)).isNotNull(), F.date_format(d, form)).otherwise(out)
         return out
 
     return _with(_day(m), lambda n: F.when(n.isNull(), m).otherwise(_with(new(n), lambda x: shaped(day(x)))))

@@ -265,3 +265,27 @@ def test_pseudonyms_any_card(spark):
     for i in (0, 1, 2, 3, 7, 8):
         assert got[i].text != texts[i] and luhn(got[i].text) and re.sub(r"\d", "d", got[i].text) == re.sub(r"\d", "d", texts[i])
     assert re.sub(r"\D", "", got[4].text[5:-2]) == got[0].text
+
+
+def test_pseudonyms_telephones_and_dates(spark):
+    """Numbers in pairs alone in a text, any area after +1, no separators, days first, date-times."""
+    texts = ["+33 6 12 34 56 78", "call +33 6 12 34 56 78, room 123", "+41 44 66 77 88 99", "+33-1-23-45-67-89", "+1 (017) 555-7713", "+14155552671", "(415) 555-2671", "+442079460958", "(+44 20 7946 0958)", "on 25/12/2001", "at 2001-12-25T10:11:12Z", "+1 (415) 055-2671", "99/12/2001 2001-13-25T10:11", "12 men"]
+    got = {r.doc_id: r for r in pseudonyms.pii(docs(spark, list(enumerate(texts)))).collect()}
+    shape = lambda t: re.sub(r"\d", "d", t)
+    for i, t in enumerate(texts[:12]):
+        assert got[i].text != t and shape(got[i].text) == shape(t) and got[i].n_phone == (i not in (9, 10)) and got[i].n_date == (i in (9, 10)), t
+    assert got[12].text == texts[12] and got[13].text == texts[13]
+    assert got[1].text == f"call {got[0].text}, room 123" and got[0].text.startswith("+33 ") and got[7].text.startswith("+44")
+    number = lambda i: re.sub(r"\D", "", got[i].text)
+    assert number(5) == "1" + number(6) and number(7) == number(8)
+    d, m, y = got[9].text[3:].split("/")
+    assert got[10].text == f"at {y}-{m}-{d}T10:11:12Z"
+    assert got[4].text.startswith("+1 (0") or got[4].text.startswith("+1 (1")
+
+
+def test_telephones_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    areas = spark.range(0, 1000).select(F.concat(F.lit("+1"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("1550001")).alias("text"), "id").withColumnRenamed("id", "doc_id")
+    got = [r.text for r in pseudonyms.pii(areas).collect()]
+    assert len(set(got)) == 1000 and all(re.fullmatch(r"\+1\d{10}", t) for t in got)
