@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group: five-word shingles, 512-bit fingerprints, similarity 0.8 or more."""
-    found = simhash.near_duplicates(docs, SHINGLE, WORDS, simhash.radius_for(SIMILARITY, 64 * WORDS), SIMILARITY)
+    """Keeps the smallest doc_id of each group: five-word shingles, candidates by 512-bit fingerprints, Jaccard similarity 0.8 or more."""
+    found = simhash.similar_documents(docs, SHINGLE, WORDS, SIMILARITY)
     kept = found.where("keep").select(F.col("key").alias("_key_")).distinct()
     # One shuffle by the key serves the join and the removal of repeated rows.
     keyed = docs.withColumn("_key_", simhash.row_key(docs["doc_id"], docs["text"]))

@@ -30,6 +30,7 @@ from .components import components
 #: Rows of a block: of one-word fingerprints, which counts prune well, and of wide ones, which every block more is sent to once more.
 BLOCK, WIDE_BLOCK = 16384, 65536
 SEED = 42
+PAIRS = 1 << 16  # pairs whose further words are compared at a time
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -45,17 +46,25 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]:
     """Big-endian fingerprint of 64 bits a word, and the number of shingles."""
+    h = shingle_hashes(text, shingle)
+    return majority(h, words), len(h)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return bytes(8 * words), 0
+        return np.empty(0, "<u8")
     if len(w) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(w), SEED)]
     else:
         digest, join = xxhash.xxh64_intdigest, b" ".join
         hashes = [digest(join(x), SEED) for x in zip(*(w[i:] for i in range(shingle)), strict=False)]
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def majority(h: np.ndarray, words: int) -> bytes:
     n = len(h)
     out = np.empty(words, ">u8")
     for k in range(words):
@@ -63,7 +72,7 @@ def fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]
         for i in range(0, n, 4096):
             bits += np.unpackbits(_mixed(h[i : i + 4096], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out[k] = np.packbits((2 * bits > n).astype(np.uint8), bitorder="little").view("<u8")[0]
-    return out.tobytes(), n
+    return out.tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +118,8 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
     return keep
 
 
-def _near(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float):
-    """Index pairs within the radius, a strip of rows against all of the other side at a time."""
+def _near(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, first: int | None = None):
+    """Index pairs within the radius (and within ``first`` in the first two words), a strip of rows against all of the other side at a time."""
     cut = min(2, fa.shape[1])
     # The first words alone bound the distance from below; with several words a link that has an improbable share of its differing
     # bits there is still found, because the bound is the radius itself.
@@ -147,12 +156,15 @@ def _near(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, radius
         d = np.bitwise_count(fa[rows, 0][:, None] ^ fb[None, lo:hi, 0]).astype(np.uint16)
         for k in range(1, cut):
             d += np.bitwise_count(fa[rows, k][:, None] ^ fb[None, lo:hi, k])
-        x, y = np.nonzero(d <= radius)
-        if len(x) and cut < fa.shape[1]:
-            d = d[x, y] + np.bitwise_count(fa[rows[x], cut:] ^ fb[lo + y, cut:]).sum(1)
-            x, y = x[d <= radius], y[d <= radius]
-        ok = (lo + y >= left[rows[x]]) & (lo + y < right[rows[x]])
-        yield rows[x[ok]], order[lo + y[ok]]
+        x, y = np.nonzero(d <= (radius if first is None else first))
+        # Near copies are all within the radius: few pairs at a time, so that memory stays bounded.
+        for lo2 in range(0, len(x), PAIRS):
+            u, v = x[lo2 : lo2 + PAIRS], y[lo2 : lo2 + PAIRS]
+            if cut < fa.shape[1]:
+                near = d[u, v] + np.bitwise_count(fa[rows[u], cut:] ^ fb[lo + v, cut:]).sum(1) <= radius
+                u, v = u[near], v[near]
+            ok = (lo + v >= left[rows[u]]) & (lo + v < right[rows[u]])
+            yield rows[u[ok]], order[lo + v[ok]]
 
 
 def _compare(words: int, radius: int, ratio: float):
@@ -179,15 +191,16 @@ def _compare(words: int, radius: int, ratio: float):
     return run
 
 
-def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, block: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, block: int | None = None, compare=None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp, n): for each pair of tiles a spanning forest of those within the radius.
 
     ``ratio`` 0 tiles by population count of the two halves of a one-word fingerprint; above 0 by bands of shingle counts.
+    ``compare`` replaces the comparison of a tile pair and has the ``extra`` columns as well.
     """
     block = block or (WIDE_BLOCK if ratio else BLOCK)
     if ratio:
         width = math.log(1 / ratio)
-        tiled = distinct.select("fp", "n", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int").alias("x"), F.lit(0).alias("y"))
+        tiled = distinct.select("fp", "n", *extra, F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int").alias("x"), F.lit(0).alias("y"))
         offsets = [(0, 0), (1, 0)]
     else:
         tiled = distinct.mapInArrow(_tile_of(words), "fp binary, n long, x int, y int")
@@ -209,8 +222,8 @@ def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, bloc
     goes = pairs.select("x", "y", "k", task.alias("task"), F.when(same, 1).otherwise(0).alias("side")).unionByName(pairs.where(~same).select(F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("k2").alias("k"), task.alias("task"), F.lit(2).alias("side")))
     goes = goes.groupBy("x", "y", "k").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
     dealt = tiled.join(F.broadcast(blocks), ["x", "y"]).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(goes, ["x", "y", "k"])
-    dealt = dealt.select("fp", "n", F.explode("tasks").alias("t")).select("fp", "n", "t.task", "t.side")
-    return dealt.groupBy("task").applyInPandas(_compare(words, radius, ratio), "a binary, b binary")
+    dealt = dealt.select("fp", "n", *extra, F.explode("tasks").alias("t")).select("fp", "n", *extra, "t.task", "t.side")
+    return dealt.groupBy("task").applyInPandas(compare or _compare(words, radius, ratio), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, ratio: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,3 +243,102 @@ def radius_for(similarity: float, bits: int) -> int:
     """The largest number of differing bits expected of shingle sets of that Jaccard similarity, plus two standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+
+
+def worst_share(similarity: float, most: int = 40) -> float:
+    """The largest expected share of differing bits of two distinct shingle sets of that Jaccard similarity or more: by counting for unions
+    of up to ``most`` shingles, and in the limit."""
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+    def ones(n):
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    for union in range(2, most + 1):
+        both = math.ceil(similarity * union - 1e-9)
+        for a in range((union - both) // 2 + 1):
+            b, p = union - both - a, 0.0
+            for k, pk in enumerate(ones(both)):
+                x = sum(q for i, q in enumerate(ones(a)) if 2 * (k + i) > both + a)
+                y = sum(q for i, q in enumerate(ones(b)) if 2 * (k + i) > both + b)
+                p += pk * (x * (1 - y) + y * (1 - x))
+            worst = max(worst, p)
+    return worst
+
+
+def bound(share: float, bits: int) -> int:
+    """Differing bits that are passed with a probability of about 1e-14."""
+    return math.ceil(bits * share + 8 * math.sqrt(bits * share * (1 - share)))
+
+
+def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
+    """doc_id, key, node (a digest of the text's distinct shingles), fp of them, n, and where in the shared files they are (file, at)."""
+
+    def run(batches):
+        import xxhash
+        from pyspark import TaskContext
+
+        name = f"{folder}/{TaskContext.get().taskAttemptId()}"
+        at = 0
+        with common.sink(name) as out:
+            for b in batches:
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
+                size = [len(h) for h in sets]
+                places = (at + np.cumsum([0, *size])[:-1]).tolist()
+                at += sum(size)
+                for h in sets:
+                    out.write(h.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("key"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([name] * len(sets)), pa.array(places, pa.int64())],
+                    names=["doc_id", "key", "node", "fp", "n", "file", "at"],
+                )
+
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
+    rows = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, node binary, fp binary, n long, file string, at long")
+
+
+def _verify(words: int, radius: int, first: int, similarity: float):
+    """As ``_compare``, but a candidate is a link only if its shingle sets are that similar; those already connected are not looked at."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        fp = np.frombuffer(b"".join(df["fp"]), ">u8").reshape(-1, words).astype("<u8")
+        n, side, file, at, node = (df[c].to_numpy() for c in ("n", "side", "file", "at", "node"))
+        ia, ib = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        label, maps, a, b = np.arange(len(df)), common.Maps("<u8"), [], []
+        part = lambda i: np.asarray(maps[file[i]][at[i] : at[i] + n[i]])
+        if len(ia) and len(ib):
+            for x, y in _near(fp[ia], fp[ib], n[ia], n[ib], radius, similarity, first):
+                x, y = ia[x], ib[y]
+                keep = ((x < y) if side[0] == 1 else (x != y)) & (label[x] != label[y])
+                for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                    if label[i] == label[j]:
+                        continue
+                    same = len(np.intersect1d(part(i), part(j), assume_unique=True))
+                    if same >= similarity * (n[i] + n[j] - same) - 1e-9:
+                        label[label == label[j]] = label[i]
+                        a.append(node[i])
+                        b.append(node[j])
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """key, and keep: whether the row's key is that of the first document of its component, components being those of the links of a
+    Jaccard similarity of the distinct shingles of ``similarity`` or more.
+
+    Fingerprints give the candidates: their radius is wide enough for sets of any size (bound, worst_share).  Every link is verified.
+    """
+    spark = docs.sparkSession
+    common.tune(spark)
+    rows = common.written(_sets(docs, shingle, words, common.scratch(spark, "sets")), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    place = F.min(F.struct("file", "at")).alias("place")
+    nodes = common.written(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), place), "nodes")
+    share = worst_share(similarity)
+    compare = _verify(words, bound(share, 64 * words), bound(share, 64 * min(2, words)), similarity)
+    found = links(nodes.select("node", "fp", "n", "place.file", "place.at"), words, 0, similarity, compare=compare, extra=("node", "file", "at"))
+    roots = components(common.written(found, "near"))
+    known = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", F.col("least.key").alias("least"))
+    return rows.select("node", "key").join(of, "node").select("key", (F.col("key") == F.col("least")).alias("keep"))

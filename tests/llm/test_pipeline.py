@@ -43,3 +43,49 @@ def test_stages_keep_rows_without_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(None, rows[0][1]), (None, rows[1][1]), (1, None)], key=str)
     assert len(corpus_pipeline.drop_contaminated(spark, df, SF).collect()) == 5
     assert corpus_pipeline.pseudonymise(spark, df, SF).columns == df.columns
+
+
+def test_near_duplicates_are_similar(spark):
+    """Against exact Jaccard similarity: pairs a little below 0.8 stay, pairs of 0.8 or more go, whatever their length or repeats."""
+    rows = []
+
+    def pair(tag, common_words, extra):
+        words = [f"{tag}w{i}" for i in range(common_words)]
+        rows.extend([(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words + [f"{tag}x{i}" for i in range(extra)]))])
+
+    for t in range(40):
+        pair(f"a{t}", 8, 1)  # 4 and 5 shingles: 0.8
+        pair(f"b{t}", 104, 34)  # 100 and 134: 0.746
+        pair(f"c{t}", 104, 25)  # 100 and 125: 0.8
+    line = " ".join(f"r{i}" for i in range(40))
+    rows += [(len(rows), line), (len(rows) + 1, f"{line} {line} {line}")]  # 36 and 40 distinct: 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, df, SF).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    for i in range(0, len(rows), 2):
+        similar = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8
+        assert i in kept and (i + 1 in kept) == (not similar), (i, rows[i][1][:20])
+
+
+def test_near_duplicates_of_documents(spark):
+    """All documents of the smallest table against the exact similarity of all pairs."""
+    def brute_shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w)} if len(w) <= 5 else set(zip(*(w[i:] for i in range(5))))
+
+    df = common.table(spark, SF, "documents")
+    rows = sorted((r.doc_id, brute_shingles(r.text)) for r in df.collect())
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, a) in enumerate(rows):
+        for e, b in rows[:i]:
+            same = len(a & b)
+            if same >= 0.8 * (len(a) + len(b) - same) - 1e-9:
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    assert {r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, df, SF).collect()} == {d for d, _ in rows if find(d) == d}
