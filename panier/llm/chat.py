@@ -77,7 +77,8 @@ def _ordered(rows: DataFrame, edges: DataFrame) -> DataFrame:
     # Everything that follows from an item out of place may move as well.
     edges = common.written(edges, "dependencies")
     state = common.written(rows.select("item", F.col("turn").alias("place"), F.lit(0).alias("depth")), "order")
-    limit = wrong.select("child").distinct().count() + 1
+    # Without cycles no chain has more links than its conversation has items with dependencies; in a cycle something always moves.
+    limit = edges.groupBy("conv").agg(F.countDistinct("child").alias("n")).agg(F.max("n")).first()[0] + 1
     for turn in range(10**9):
         bound = edges.join(state.withColumnsRenamed({"item": "parent", "place": "p", "depth": "d"}), "parent").groupBy("child").agg(F.max(F.struct(F.col("p").alias("place"), (F.col("d") + 1).alias("depth"))).alias("b"))
         own = F.struct("place", "depth")
@@ -96,7 +97,7 @@ def linked(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) ->
     answered = rows.where("kind = 'result'").groupBy("conv", "call_id").agg(F.count("*").alias("results"))
     after = rows.where("kind = 'call'").select("conv", "item", "turn", F.explode("after").alias("call_id"))
     needs = rows.where("kind = 'result'").select("conv", "item", "turn", "call_id").unionByName(after)
-    edges = needs.join(calls, ["conv", "call_id"]).select(F.col("parent"), F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
+    edges = needs.join(calls, ["conv", "call_id"]).select("conv", F.col("parent"), F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
     order = _ordered(rows, edges)
     out = rows.join(calls.drop("tp"), ["conv", "call_id"], "left").join(answered, ["conv", "call_id"], "left")
     if order is None:

@@ -234,3 +234,11 @@ def test_chat_of_conversations(spark):
         elif t.role == "assistant":
             assert said["content"] == t.text and r.status == ("ok" if before and before.role == "user" else "orphan")
         assert r.place == r.turn and json.dumps(said, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.json
+
+
+def test_chat_orders_deep_chains(spark):
+    """One item out of place moves all that depends on it, however deep."""
+    names, turns = "ABCDEF", [10, 1, 2, 3, 4, 5]
+    rows = [(1, t, "assistant", f'{{"tool_calls":[{{"id":"{n}","name":"add","arguments":"{{}}"' + (f',"after":["{names[i - 1]}"]' if i else "") + "}]}") for i, (n, t) in enumerate(zip(names, turns, strict=True))]
+    got = chat.linked(chat.items(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), SCHEMA).collect()
+    assert [r.call_id for r in sorted(got, key=lambda r: (r.place, r.depth, r.turn))] == list(names) and "cycle" not in {r.status for r in got}
