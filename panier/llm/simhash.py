@@ -1,21 +1,28 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared with numpy exclusive-or and bit counts, tile against tile.  Tiles hold fingerprints of equal population
-counts (of the low and the high half, two counts to a tile), in blocks of bounded size; two tiles whose counts differ by more than the radius in sum
-cannot hold a link and are skipped, and so are, within a tile pair, rows whose counts by 16 bits differ by more.  For wide
-fingerprints with a wide radius the population that prunes is that of the shingles: with a similarity s no link joins documents
-whose shingle counts differ by more than a factor s.
-
-Texts with equal fingerprints are one node, so copies are never compared.  A tile pair gives a spanning forest of its links, not all
-of them, so that a group of n near copies costs n rows and not n squared; what is reachable stays the same.
-
-Edge cases: a null or blank text has fingerprint zero and links like any other; fewer words than a shingle are one shingle; repeated
-rows get the same result each; rows of null doc_id take part, and a component's id is the smallest that is not null; an empty table
-gives no rows; further columns are ignored.
+Fingerprints are compared with numpy exclusive-or and bit counts, tile against tile.
+
+``near_duplicates`` links 64-bit fingerprints within a radius.  Tiles hold fingerprints of equal population counts (of the low and the
+high half, two counts to a tile), in blocks of bounded size; two tiles whose counts differ by more than the radius in sum cannot hold a
+link and are skipped, and so are, within a tile pair, rows whose counts by 16 bits differ by more.
+
+``similar_documents`` links texts by the Jaccard similarity of their shingles.  Its fingerprints are of distinct shingles, and so wide
+and with such a radius that their population counts tell nothing; the population that prunes is that of the shingles: with a similarity
+s no link joins sets whose sizes differ by more than a factor s, so tiles are bands of sizes.  The fingerprints give candidates, of
+which each is verified from the shingles themselves.
+
+Equal texts are one node, so copies are never compared.  A tile pair gives a spanning forest of its links, not all of them, so that a
+group of n near copies costs n rows and not n squared; what is reachable stays the same.
+
+Edge cases: a null, empty or blank text has no shingle and fingerprint zero, and links like any other (Jaccard: with its like only);
+fewer words than a shingle are one shingle; a text of any length, with or without spaces, is one row of shingles, counted in strips;
+repeated rows get the same result each; rows of null doc_id take part, and a component's id is the smallest that is not null; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -27,10 +34,14 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Rows of a block: of one-word fingerprints, which counts prune well, and of wide ones, which every block more is sent to once more.
-BLOCK, WIDE_BLOCK = 16384, 65536
+#: Rows of a block of 64-bit fingerprints, which counts prune well.
+BLOCK = 16384
+#: Wide ones: a block is a SHARE-th of all rows, within these limits; a task holds two blocks.
+LEAST_BLOCK, MOST_BLOCK, SHARE = 4096, 65536, 64
 SEED = 42
-PAIRS = 1 << 16  # pairs whose further words are compared at a time
+STRIP, SPAN = 32, 4096  # rows and columns compared at a time
+PAIRS = 1 << 16  # candidates verified at a time
+DEVIATIONS = 5  # of a binomial: what lies beyond has a probability of about 1e-6
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -44,10 +55,9 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, words: int) -> tuple[bytes, int]:
-    """Big-endian fingerprint of 64 bits a word, and the number of shingles."""
-    h = shingle_hashes(text, shingle)
-    return majority(h, words), len(h)
+def fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """Big-endian fingerprint of 64 bits a word."""
+    return majority(shingle_hashes(text, shingle), words)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -76,31 +86,21 @@ def majority(h: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (a hash of doc_id and text, equal for equal rows), fp (binary), n (shingles)."""
+    """doc_id and fp (binary)."""
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(t, shingle, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "key", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle, words) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
 
     common.tune(docs.sparkSession)
-    doc_id, text = docs[id_col].cast("long"), docs[text_col]
-    return docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key long, fp binary, n long")
-
-
-def row_key(doc_id, text):
-    return F.xxhash64(doc_id, text)
-
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
-def _tile_of(words: int):
-    def run(batches):
-        for b in batches:
-            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").reshape(-1, words)
-            first = fp[:, 0].astype("<u8").view("<u4").reshape(-1, 2)
-            counts = np.bitwise_count(first).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("n"), pa.array(counts[:, 0] // 2), pa.array(counts[:, 1] // 2)], names=["fp", "n", "x", "y"])
 
-    return run
+def _tiles(batches):
+    for b in batches:
+        fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype("<u8")
+        counts = np.bitwise_count(fp.view("<u4").reshape(-1, 2)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(counts[:, 0] // 2), pa.array(counts[:, 1] // 2)], names=["fp", "x", "y"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
@@ -118,65 +118,35 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
     return keep
 
 
-def _near(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, first: int | None = None):
-    """Index pairs within the radius (and within ``first`` in the first two words), a strip of rows against all of the other side at a time."""
-    cut = min(2, fa.shape[1])
-    # The first words alone bound the distance from below; with several words a link that has an improbable share of its differing
-    # bits there is still found, because the bound is the radius itself.
-    qa = np.bitwise_count(fa[:, :1].copy().view("<u2")).astype(np.int16) if fa.shape[1] == 1 else None
-    qb = np.bitwise_count(fb[:, :1].copy().view("<u2")).astype(np.int16) if fa.shape[1] == 1 else None
-    if qa is not None:
-        # Cells of equal counts by 16 bits: only cells within the radius in sum are compared.
-        ka = qa @ np.array([1, 32, 1024, 32768], np.int64)
-        kb = qb @ np.array([1, 32, 1024, 32768], np.int64)
-        order, rder = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
-        ua, sa = np.unique(ka[order], return_index=True)
-        ub, sb = np.unique(kb[rder], return_index=True)
-        sa, sb = np.append(sa, len(ka)), np.append(sb, len(kb))
-        ca, cb = qa[order][sa[:-1]], qb[rder][sb[:-1]]
-        for i in range(len(ua)):
-            rows = order[sa[i] : sa[i + 1]]
-            near = np.flatnonzero(np.abs(cb - ca[i]).sum(1) <= radius)
-            if len(near):
-                cols = np.concatenate([rder[sb[j] : sb[j + 1]] for j in near])
-                for at in range(0, len(rows), 1024):
-                    d = np.bitwise_count(fa[rows[at : at + 1024], :1] ^ fb[cols, 0][None, :])
-                    x, y = np.nonzero(d <= radius)
-                    yield rows[at + x], cols[y]
-        return
-    order = np.argsort(nb, kind="stable")
-    nb, fb = nb[order], fb[order]
-    left, right = np.searchsorted(nb, np.ceil(na * ratio - 1e-9)), np.searchsorted(nb, np.floor(na / ratio + 1e-9), "right")
-    by_n = np.argsort(na, kind="stable")
-    for at in range(0, len(by_n), 64):
-        rows = by_n[at : at + 64]
-        lo, hi = left[rows].min(), right[rows].max()
-        if lo >= hi:
-            continue
-        d = np.bitwise_count(fa[rows, 0][:, None] ^ fb[None, lo:hi, 0]).astype(np.uint16)
-        for k in range(1, cut):
-            d += np.bitwise_count(fa[rows, k][:, None] ^ fb[None, lo:hi, k])
-        x, y = np.nonzero(d <= (radius if first is None else first))
-        # Near copies are all within the radius: few pairs at a time, so that memory stays bounded.
-        for lo2 in range(0, len(x), PAIRS):
-            u, v = x[lo2 : lo2 + PAIRS], y[lo2 : lo2 + PAIRS]
-            if cut < fa.shape[1]:
-                near = d[u, v] + np.bitwise_count(fa[rows[u], cut:] ^ fb[lo + v, cut:]).sum(1) <= radius
-                u, v = u[near], v[near]
-            ok = (lo + v >= left[rows[u]]) & (lo + v < right[rows[u]])
-            yield rows[u[ok]], order[lo + v[ok]]
-
-
-def _compare(words: int, radius: int, ratio: float):
+def _near(fa: np.ndarray, fb: np.ndarray, radius: int):
+    """Index pairs of 64-bit fingerprints within the radius, by cells of equal counts by 16 bits: only cells within the radius in sum are compared."""
+    qa, qb = (np.bitwise_count(f[:, None].copy().view("<u2")).astype(np.int16) for f in (fa, fb))
+    scale = np.array([1, 32, 1024, 32768], np.int64)
+    ka, kb = qa @ scale, qb @ scale
+    order, rder = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+    ua, sa = np.unique(ka[order], return_index=True)
+    ub, sb = np.unique(kb[rder], return_index=True)
+    sa, sb = np.append(sa, len(ka)), np.append(sb, len(kb))
+    ca, cb = qa[order][sa[:-1]], qb[rder][sb[:-1]]
+    for i in range(len(ua)):
+        rows = order[sa[i] : sa[i + 1]]
+        near = np.flatnonzero(np.abs(cb - ca[i]).sum(1) <= radius)
+        if len(near):
+            cols = np.concatenate([rder[sb[j] : sb[j + 1]] for j in near])
+            for at in range(0, len(rows), 1024):
+                x, y = np.nonzero(np.bitwise_count(fa[rows[at : at + 1024], None] ^ fb[cols][None, :]) <= radius)
+                yield rows[at + x], cols[y]
+
+
+def _compare(radius: int):
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        fp = np.frombuffer(b"".join(df["fp"]), ">u8").reshape(-1, words).astype("<u8")
-        n = df["n"].to_numpy()
+        fp = np.frombuffer(b"".join(df["fp"]), ">u8").astype("<u8")
         side = df["side"].to_numpy()
         ia = np.flatnonzero(side <= 1)
         ib = np.flatnonzero(side >= 1)  # 1: the one block of a tile pair with itself
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(ia) and len(ib):
-            for x, y in _near(fp[ia], fp[ib], n[ia], n[ib], radius, ratio):
+            for x, y in _near(fp[ia], fp[ib], radius):
                 x, y = ia[x], ib[y]
                 keep = x < y if side[0] == 1 else x != y
                 x, y = x[keep], y[keep]
@@ -191,60 +161,52 @@ def _compare(words: int, radius: int, ratio: float):
     return run
 
 
-def links(distinct: DataFrame, words: int, radius: int, ratio: float = 0.0, block: int | None = None, compare=None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp, n): for each pair of tiles a spanning forest of those within the radius.
-
-    ``ratio`` 0 tiles by population count of the two halves of a one-word fingerprint; above 0 by bands of shingle counts.
-    ``compare`` replaces the comparison of a tile pair and has the ``extra`` columns as well.
-    """
-    block = block or (WIDE_BLOCK if ratio else BLOCK)
-    if ratio:
-        width = math.log(1 / ratio)
-        tiled = distinct.select("fp", "n", *extra, F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int").alias("x"), F.lit(0).alias("y"))
-        offsets = [(0, 0), (1, 0)]
-    else:
-        tiled = distinct.mapInArrow(_tile_of(words), "fp binary, n long, x int, y int")
-        least = lambda i: max(0, 2 * abs(i) - 1)  # noqa: E731  the counts of two halved counts that differ by i differ by that much
-        offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if least(i) + least(j) <= radius and (i, j) >= (0, 0)]
-    tiled = common.written(tiled, "tiles")
-    counted = tiled.groupBy("x", "y").agg(F.count("*").alias("c"))  # 17 * 17 tiles, or a band for each factor, whatever the input
-    blocks = counted.select("x", "y", F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("int").alias("blocks"))
-    numbered = blocks.select("x", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+def _by_tile_pairs(tiled: DataFrame, offsets: list[tuple[int, int]], block: int, by: str, compare) -> DataFrame:
+    """``compare`` (rows of one or two blocks with their ``side``, to links a, b) for each pair of blocks whose tiles (x, y) differ by
+    one of ``offsets``.  A tile's rows are dealt to its blocks by a hash of ``by``, so a tile that has most rows is many tasks."""
+    counted = tiled.groupBy("x", "y").agg(F.count("*").alias("c"))  # as many as tiles: some hundreds, whatever the input
+    blocks = counted.select("x", "y", "c", F.greatest(F.ceil(F.col("c") / block), F.lit(1)).cast("int").alias("blocks"))
+    numbered = blocks.select("x", "y", (F.col("c") / F.col("blocks")).alias("size"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
     pairs = (
-        numbered.select("x", "y", "k", F.explode(offs).alias("o"))
-        .select("x", "y", "k", (F.col("x") + F.col("o.i")).alias("x2"), (F.col("y") + F.col("o.j")).alias("y2"))
-        .join(numbered.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2")), ["x2", "y2"])
+        numbered.select("x", "y", "k", "size", F.explode(offs).alias("o"))
+        .select("x", "y", "k", "size", (F.col("x") + F.col("o.i")).alias("x2"), (F.col("y") + F.col("o.j")).alias("y2"))
+        .join(numbered.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"), F.col("size").alias("size2")), ["x2", "y2"])
         .where("(x2, y2) <> (x, y) OR k2 >= k")
     )
     same = F.expr("x = x2 AND y = y2 AND k = k2")
-    task = F.concat_ws("/", "x", "y", "k", "x2", "y2", "k2")
-    goes = pairs.select("x", "y", "k", task.alias("task"), F.when(same, 1).otherwise(0).alias("side")).unionByName(pairs.where(~same).select(F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("k2").alias("k"), task.alias("task"), F.lit(2).alias("side")))
-    goes = goes.groupBy("x", "y", "k").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
-    dealt = tiled.join(F.broadcast(blocks), ["x", "y"]).withColumn("k", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(goes, ["x", "y", "k"])
-    dealt = dealt.select("fp", "n", *extra, F.explode("tasks").alias("t")).select("fp", "n", *extra, "t.task", "t.side")
-    return dealt.groupBy("task").applyInPandas(compare or _compare(words, radius, ratio), "a binary, b binary")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, ratio: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id, n_linked (distinct fingerprints of the component), key, and keep: whether the row's
-    key is that of the component's first document."""
-    rows = common.written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    distinct = common.written(rows.groupBy("fp").agg(first, F.min("n").alias("n")), "distinct")
-    roots = components(common.written(links(distinct.select("fp", "n"), words, radius, ratio), "near"))
+    pairs = common.written(pairs.withColumns({"same": same, "task": F.concat_ws("/", "x", "y", "k", "x2", "y2", "k2")}), "tile-pairs")
+    tasks, rows = pairs.agg(F.count("*"), F.coalesce(F.sum(F.col("size") + F.when(F.col("same"), 0).otherwise(F.col("size2"))), F.lit(0))).first()
+    one = pairs.select("x", "y", "k", "task", F.when(F.col("same"), 1).otherwise(0).alias("side"))
+    two = pairs.where("NOT same").select(F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("k2").alias("k"), "task", F.lit(2).alias("side"))
+    goes = one.unionByName(two).groupBy("x", "y", "k").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    dealt = tiled.join(F.broadcast(blocks.drop("c")), ["x", "y"]).withColumn("k", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).join(goes, ["x", "y", "k"])
+    dealt = dealt.drop("x", "y", "k", "blocks").select("*", F.explode("tasks").alias("t")).select("*", "t.task", "t.side").drop("tasks", "t")
+    # The bytes of a task say little of its work, so its number of tasks is not left to them.
+    parts = int(max(1, min(tasks, 8 * tiled.sparkSession.sparkContext.defaultParallelism), rows // 500_000))
+    return dealt.repartition(parts, "task").groupBy("task").applyInPandas(compare, "a binary, b binary")
+
+
+def links(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between distinct 64-bit fingerprints (fp): for each pair of tiles a spanning forest of those within the radius."""
+    least = lambda i: max(0, 2 * abs(i) - 1)  # noqa: E731  the counts of two halved counts that differ by i differ by that much
+    offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if least(i) + least(j) <= radius and (i, j) >= (0, 0)]
+    tiled = common.written(distinct.select("fp").mapInArrow(_tiles, "fp binary, x int, y int"), "tiles")
+    return _by_tile_pairs(tiled, offsets, block, "fp", _compare(radius))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id and n_linked (distinct fingerprints of the component)."""
+    rows = common.written(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(common.written(links(distinct, radius), "near"))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = known.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n_linked"))
-    of = common.written(known.drop("first").join(ids, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first"), "n_linked"), "classes")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_linked", "key", (F.col("key") == F.col("first")).alias("keep"))
-
-
-def radius_for(similarity: float, bits: int) -> int:
-    """The largest number of differing bits expected of shingle sets of that Jaccard similarity, plus two standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    ids = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_linked"))
+    of = common.written(known.drop("first").join(ids, "root").select("fp", "component_id", "n_linked"), "classes")
+    return rows.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_linked")
 
 
+@functools.cache
 def worst_share(similarity: float, most: int = 40) -> float:
     """The largest expected share of differing bits of two distinct shingle sets of that Jaccard similarity or more: by counting for unions
     of up to ``most`` shingles, and in the limit."""
@@ -266,20 +228,20 @@ def worst_share(similarity: float, most: int = 40) -> float:
 
 
 def bound(share: float, bits: int) -> int:
-    """Differing bits that are passed with a probability of about 1e-14."""
-    return math.ceil(bits * share + 8 * math.sqrt(bits * share * (1 - share)))
+    """Differing bits that DEVIATIONS standard deviations above the expected number do not pass."""
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
-    """doc_id, key, node (a digest of the text's distinct shingles), fp of them, n, and where in the shared files they are (file, at)."""
+    """doc_id, th (a digest of the text), node (one of its distinct shingles), fp of them, n, and where in the shared files they are
+    (part, at)."""
 
     def run(batches):
         import xxhash
         from pyspark import TaskContext
 
-        name = f"{folder}/{TaskContext.get().taskAttemptId()}"
-        at = 0
-        with common.sink(name) as out:
+        part, at = TaskContext.get().taskAttemptId(), 0
+        with common.sink(f"{folder}/{part}") as out:
             for b in batches:
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
                 size = [len(h) for h in sets]
@@ -288,32 +250,83 @@ def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
                 for h in sets:
                     out.write(h.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("key"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([name] * len(sets)), pa.array(places, pa.int64())],
-                    names=["doc_id", "key", "node", "fp", "n", "file", "at"],
+                    [b.column("doc_id"), b.column("th"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([part] * len(sets), pa.int64()), pa.array(places, pa.int64())],
+                    names=["doc_id", "th", "node", "fp", "n", "part", "at"],
                 )
 
-    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
-    rows = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, node binary, fp binary, n long, file string, at long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_digest(docs["text"]).alias("th"), docs["text"].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th binary, node binary, fp binary, n long, part long, at long")
+
 
+def text_digest(text):
+    """128 bits that tell texts apart; a null is no empty text."""
+    return F.unhex(F.md5(F.concat(F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit("")))))
 
-def _verify(words: int, radius: int, first: int, similarity: float):
+
+def _candidates(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, first: int, radius: int, ratio: float):
+    """Index pairs within ``first`` in the first two words and within the radius in all, whose sizes differ by no more than the ratio;
+    about PAIRS at a time.  A strip of rows is compared with the columns of its window of sizes only."""
+    order = np.argsort(nb, kind="stable")
+    nb, fb = nb[order], fb[order]
+    left, right = np.searchsorted(nb, np.ceil(na * ratio - 1e-9)), np.searchsorted(nb, np.floor(na / ratio + 1e-9), "right")
+    by_n = np.argsort(na, kind="stable")
+    words = [np.ascontiguousarray(fb[:, k]) for k in range(2)]
+    diff, count, total, close = (np.empty(STRIP * SPAN, t) for t in (np.uint64, np.uint8, np.uint8, bool))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for at in range(0, len(by_n), STRIP):
+        rows = by_n[at : at + STRIP]
+        lo, hi = int(left[rows].min()), int(right[rows].max())
+        own = [fa[rows, k][:, None] for k in range(2)]
+        for c in range(lo, hi, SPAN):
+            shape = len(rows), min(SPAN, hi - c)
+            cells = shape[0] * shape[1]
+            d, n, t = (x[:cells].reshape(shape) for x in (diff, count, total))
+            np.bitwise_xor(own[0], words[0][None, c : c + shape[1]], out=d)
+            np.bitwise_count(d, out=t)
+            np.bitwise_xor(own[1], words[1][None, c : c + shape[1]], out=d)
+            np.bitwise_count(d, out=n)
+            np.add(t, n, out=t)
+            np.less_equal(total[:cells], np.uint8(first), out=close[:cells])
+            close[cells : -(-cells // 8) * 8] = False
+            eights = np.flatnonzero(close[: -(-cells // 8) * 8].view(np.uint64))
+            if not len(eights):
+                continue
+            hit = (eights[:, None] * 8 + np.arange(8)).ravel()
+            x, y = np.divmod(hit[close[hit]], shape[1])
+            for p in range(0, len(x), PAIRS):
+                u, v = rows[x[p : p + PAIRS]], c + y[p : p + PAIRS]
+                ok = (v >= left[u]) & (v < right[u])
+                u, v = u[ok], v[ok]
+                ok = np.bitwise_count(fa[u] ^ fb[v]).sum(1) <= radius
+                held.append((u[ok], order[v[ok]]))
+                size += int(ok.sum())
+                if size >= PAIRS:
+                    yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held, size = [], 0
+    if size:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def _verify(words: int, similarity: float, folder: str):
     """As ``_compare``, but a candidate is a link only if its shingle sets are that similar; those already connected are not looked at."""
+    share = worst_share(similarity)
+    radius, first = bound(share, 64 * words), bound(share, 128)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         fp = np.frombuffer(b"".join(df["fp"]), ">u8").reshape(-1, words).astype("<u8")
-        n, side, file, at, node = (df[c].to_numpy() for c in ("n", "side", "file", "at", "node"))
+        n, side, part, at, node = (df[c].to_numpy() for c in ("n", "side", "part", "at", "node"))
         ia, ib = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         label, maps, a, b = np.arange(len(df)), common.Maps("<u8"), [], []
-        part = lambda i: np.asarray(maps[file[i]][at[i] : at[i] + n[i]])
+        shingles = lambda i: np.asarray(maps[f"{folder}/{part[i]}"][at[i] : at[i] + n[i]])
         if len(ia) and len(ib):
-            for x, y in _near(fp[ia], fp[ib], n[ia], n[ib], radius, similarity, first):
+            for x, y in _candidates(fp[ia], fp[ib], n[ia], n[ib], first, radius, similarity):
                 x, y = ia[x], ib[y]
                 keep = ((x < y) if side[0] == 1 else (x != y)) & (label[x] != label[y])
                 for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
                     if label[i] == label[j]:
                         continue
-                    same = len(np.intersect1d(part(i), part(j), assume_unique=True))
+                    same = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
                     if same >= similarity * (n[i] + n[j] - same) - 1e-9:
                         label[label == label[j]] = label[i]
                         a.append(node[i])
@@ -323,22 +336,27 @@ def _verify(words: int, radius: int, first: int, similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
-    """key, and keep: whether the row's key is that of the first document of its component, components being those of the links of a
-    Jaccard similarity of the distinct shingles of ``similarity`` or more.
+def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 4, similarity: float = 0.8) -> DataFrame:
+    """doc_id, th, component_id (the smallest doc_id of the component) and keep: whether the row is the first of its component, by doc_id
+    and th, components being those of the links of a Jaccard similarity of the distinct shingles of ``similarity`` or more.
 
-    Fingerprints give the candidates: their radius is wide enough for sets of any size (bound, worst_share).  Every link is verified.
+    Fingerprints of ``words`` (two or more) times 64 bits give the candidates: their radius is wide enough for sets of any size (bound,
+    worst_share).  Every link is verified.
     """
     spark = docs.sparkSession
     common.tune(spark)
-    rows = common.written(_sets(docs, shingle, words, common.scratch(spark, "sets")), "sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    place = F.min(F.struct("file", "at")).alias("place")
+    folder = common.scratch(spark, "sets")
+    rows = common.written(_sets(docs, shingle, words, folder), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    place = F.min(F.struct("part", "at")).alias("place")
     nodes = common.written(rows.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), place), "nodes")
-    share = worst_share(similarity)
-    compare = _verify(words, bound(share, 64 * words), bound(share, 64 * min(2, words)), similarity)
-    found = links(nodes.select("node", "fp", "n", "place.file", "place.at"), words, 0, similarity, compare=compare, extra=("node", "file", "at"))
+    width = math.log(1 / similarity)
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int")
+    tiled = common.written(nodes.select("node", "fp", "n", "place.part", "place.at", band.alias("x"), F.lit(0).alias("y")), "tiles")
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, tiled.count() // SHARE))
+    found = _by_tile_pairs(tiled, [(0, 0), (1, 0)], block, "node", _verify(words, similarity, folder))
     roots = components(common.written(found, "near"))
     known = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", F.col("least.key").alias("least"))
-    return rows.select("node", "key").join(of, "node").select("key", (F.col("key") == F.col("least")).alias("keep"))
+    of = known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    return rows.select("node", "doc_id", "th").join(of, "node").select("doc_id", "th", F.col("least.doc_id").alias("component_id"), same.alias("keep"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, deobfuscation
 
@@ -147,23 +148,29 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = TR
 
 
 def scores(docs: DataFrame, counts: np.ndarray, weights: dict[str, float], coef: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score."""
-    kept = docs.select(*keep, F.col("text").alias("_text_"))
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.select(*keep).dtypes] + ["score double"])
+    """The columns ``keep`` (none of them ``score``) and score, from ``text``."""
+    kept = docs.select(*keep, F.struct("text").alias("of"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         model, own = deobfuscation.Model(counts), Weights(weights)
         for b in batches:
-            x = np.array([evidence(t, model, own) for t in b.column("_text_").to_pylist()]).reshape(-1, len(coef) - 1)
+            x = np.array([evidence(t, model, own) for t in b.column(len(keep)).field(0).to_pylist()]).reshape(-1, len(coef) - 1)
             got = 1 / (1 + np.exp(-np.clip((x * coef[:-1]).sum(1) + coef[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, "score"])
 
     return kept.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """Per document ``keep``, held_out, score and predicted.  Rows of ``labels`` whose crc32(doc_id) mod 3 is 1 are never read from."""
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document ``keep`` and score.  Rows of ``labels`` (doc_id, toxic) whose crc32(doc_id) mod 3 is 1 are never read from."""
     common.tune(docs.sparkSession)
     counts = character_model(docs)
     weights, coef = train(docs, labels.where(common.crc_mod("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label")), counts)
-    return scores(docs, counts, weights, coef, keep).withColumns({"held_out": common.crc_mod("doc_id", 3) == 1, "predicted": (F.col("score") >= threshold).cast("int")})
+    return scores(docs, counts, weights, coef, keep)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document doc_id, held_out, score and predicted."""
+    out = scored(docs.select("doc_id", "text"), labels)
+    return out.select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

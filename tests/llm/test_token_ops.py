@@ -95,59 +95,78 @@ def test_packing_plan_uses_each_length_once():
     assert sequences * 4096 + stream == (hist * np.arange(4096)).sum() and sequences * 4096 > 0.5 * (hist * np.arange(4096)).sum()
 
 
-def brute_components(rows, k, words, radius, ratio):
-    import xxhash
-
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
-
-    fps = []
-    for d, t in rows:
-        s = shingles(t)
-        if words == 1:
-            h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-            fp = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-        else:
-            fp = int.from_bytes(simhash.fingerprint(t, k, words)[0], "big")
-        fps.append((d, fp, len(s)))
-    root = list(range(len(fps)))
+def classes(ids, linked):
+    """(id, smallest id reachable) for rows ``ids`` (some null), by the pairs of row numbers that are linked."""
+    root = list(range(len(ids)))
 
     def find(x):
         while root[x] != x:
-            x = root[x]
+            root[x] = x = root[root[x]]
         return x
 
-    for i, (_, f, n) in enumerate(fps):
-        for j in range(i):
-            near = (fps[j][1] ^ f).bit_count() <= radius and (not ratio or fps[j][1] == f or min(n, fps[j][2]) >= ratio * max(n, fps[j][2]))
-            if near:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    for i, j in linked:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
     least = {}
-    for i, (d, _, _) in enumerate(fps):
-        r = find(i)
-        least[r] = min([x for x in (least.get(r), d) if x is not None], default=None)
-    return sorted(((d, format(f, f"0{16 * words}x"), least[find(i)]) for i, (d, f, _) in enumerate(fps)), key=str)
+    for i, d in enumerate(ids):
+        least[find(i)] = min([x for x in (least.get(find(i)), d) if x is not None], default=None)
+    return [(d, least[find(i)]) for i, d in enumerate(ids)]
+
+
+def brute_components(rows, k, radius):
+    import xxhash
+
+    fps = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0)
+    found = classes([d for d, _ in rows], [(i, j) for i, f in enumerate(fps) for j in range(i) if (fps[j] ^ f).bit_count() <= radius])
+    return sorted(((d, format(f, "016x"), c) for f, (d, c) in zip(fps, found, strict=True)), key=str)
 
 
 @pytest.mark.parametrize("which", ["small", "edge"])
-@pytest.mark.parametrize("args", [(3, 1, 3, 0.0), (5, 8, simhash.radius_for(0.8, 512), 0.8)])
-def test_simhash(spark, small, which, args):
+def test_simhash(spark, small, which):
     near = [(30 + i, " ".join(f"w{j}" if j != i else "other" for j in range(60))) for i in range(8)]
     df = small if which == "small" else docs(spark, TEXTS + near)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    got = simhash.near_duplicates(df, *args).collect()
-    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == brute_components(rows, *args)
-    if which == "small":
-        assert sorted(r.doc_id for r in got if r.keep) == sorted({r.component_id for r in got})
+    got = simhash.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == brute_components(rows, 3, 3)
 
 
 def test_simhash_blocks_and_empty(spark, small):
-    rows = simhash.fingerprints(small, 3).groupBy("fp").agg({"n": "min"}).toDF("fp", "n")
-    whole, cut = (components.components(simhash.links(rows, 1, 20, block=b)).collect() for b in (10**6, 16))
+    rows = simhash.fingerprints(small, 3).distinct()
+    whole, cut = (components.components(simhash.links(rows, 20, block=b)).collect() for b in (10**6, 16))
     assert sorted((bytes(r.node), bytes(r.root)) for r in whole) == sorted((bytes(r.node), bytes(r.root)) for r in cut)
     assert simhash.near_duplicates(empty(spark)).count() == 0
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
+def test_similar_documents_in_blocks(spark, small, monkeypatch):
+    """Blocks of a few rows give the components that one block gives."""
+    whole = {(r.doc_id, r.component_id) for r in simhash.similar_documents(small).collect()}
+    monkeypatch.setattr(simhash, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(simhash, "STRIP", 3)
+    monkeypatch.setattr(simhash, "SPAN", 5)
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(small).collect()} == whole
+
+
+def test_candidates_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (40, 4), dtype=np.uint64)
+    a, b = (np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 60, base.shape).astype(np.uint64)) for _ in range(4)]) for _ in range(2))
+    na, nb = (rng.integers(50, 120, len(a)) for _ in range(2))
+    for first, radius in ((3, 6), (4, 8), (47, 80)):
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d = [int(x ^ y).bit_count() for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)]
+                if sum(d[:2]) <= first and sum(d) <= radius and min(na[i], nb[j]) >= 0.8 * max(na[i], nb[j]) - 1e-9:
+                    want.add((i, j))
+        got = [(int(x), int(y)) for u, v in simhash._candidates(a, b, na, nb, first, radius, 0.8) for x, y in zip(u, v, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and want
 
 
 def test_components(spark):
