@@ -7,8 +7,9 @@ is a lower bound of the share of toxic texts among those that have it.  How stro
 a text, which a logistic regression joins.  Its coefficients come from one half of the sample with weights from the other half.
 
 Edge cases: a null or empty text has no words and gets the score of no evidence; repeated rows get the same score; a label that is
-null or whose document is missing teaches nothing; without labels every score is that of no evidence; equal doc_ids in ``labels``
-each count; an empty table gives no rows; further columns are ignored.
+null or whose document is missing teaches nothing; without labels every score is that of no evidence; equal rows of ``labels`` count
+once, and of documents of one doc_id one text teaches; a text of any length is read whole, and a word of any length is one; letters of
+any script are letters; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 from . import common, deobfuscation
 
 TRAIN_ROWS = 12_000
-MOST_FEATURES = 20_000
 THRESHOLD = 0.7
 NO_EVIDENCE = 0.02
+INNER = 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,14 +48,18 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def words(text: str, model: deobfuscation.Model) -> Counter:
-    """The words of the text as it stands and of its disguised spans as restored, with counts."""
+def words(text: str, model: deobfuscation.Model) -> tuple[Counter, list[str]]:
+    """The words of the text as it stands and of its disguised spans as restored, with counts; and the letters of each span of lone
+    letters, in which nothing tells where a word ends."""
     plain = text.lower()
-    out = Counter(WORD.findall(plain))
+    out, joined = Counter(WORD.findall(plain)), []
     if deobfuscation.suspicious(plain):
         for m in deobfuscation.SPAN.finditer(plain):
-            out.update(WORD.findall(model.decode(m.group())))
-    return out
+            found = WORD.findall(model.decode(m.group()))
+            out.update(found)
+            if m["spaced"]:
+                joined.append("".join(found))
+    return out, joined
 
 
 def _beginnings(word: str) -> list[str]:
@@ -66,6 +71,7 @@ class Weights:
 
     def __init__(self, weights: dict[str, float], most: int = 1_000_000):
         self.weights, self.most = weights, most
+        self.longest = max((len(f) for f in weights), default=0)
         self.none: set[str] = set()
 
     def of(self, found: Counter) -> list[tuple[str, float]]:
@@ -80,11 +86,19 @@ class Weights:
                 self.none.add(w)
         return out
 
+    def within(self, letters: str) -> list[str]:
+        """Feature words (whole ones, of INNER letters or more) anywhere in a run of letters."""
+        get = self.weights
+        return [w for i in range(len(letters)) for n in range(INNER, min(self.longest, len(letters) - i) + 1) if (w := letters[i : i + n]) in get]
+
 
 def evidence(text: str | None, model: deobfuscation.Model, weights: Weights) -> list[float]:
     """Strongest and second word, number and density of words of some weight, sum and density of weights."""
-    found = words(text or "", model)
-    size, strong = found.total(), sorted(weights.of(found))
+    found, joined = words(text or "", model)
+    size = found.total()
+    for letters in joined:
+        found.update(w for w in weights.within(letters) if w not in found)
+    strong = sorted(weights.of(found))
     hits = sum(found[w] for w, _ in strong)
     total = sum(found[w] * p for w, p in strong)
     best = sorted([0.0, 0.0, *(p for _, p in strong)])[-2:]
@@ -96,7 +110,7 @@ def _weights(texts: DataFrame, counts: np.ndarray) -> dict[str, float]:
         model, toxic, clean = deobfuscation.Model(counts), Counter(), Counter()
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                found = words(text or "", model)
+                found, _ = words(text or "", model)
                 (toxic if label else clean).update({x for w in found for x in (w, *_beginnings(w))})
         for tally, t in ((toxic, True), (clean, False)):
             n, none = pa.array(list(tally.values()), pa.int64()), pa.array([0] * len(tally), pa.int64())
@@ -106,8 +120,8 @@ def _weights(texts: DataFrame, counts: np.ndarray) -> dict[str, float]:
     n, share = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
     bound = (share + z2 / (2 * n) - F.sqrt(z2 * share * (1 - share) / n + z2 * z2 / (4 * n * n))) / (1 + z2 / n)  # Wilson
     found = texts.select("text", "label").mapInArrow(run, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 4")
-    found = found.withColumn("p", bound).where("p >= 0.3").orderBy(F.desc("p"), F.desc("t"), "f").limit(MOST_FEATURES)
-    return {r.f: r.p for r in found.select("f", "p").collect()}
+    # A feature stands in four toxic texts of the sample at least, so there are no more than a quarter of its texts' words and beginnings.
+    return {r.f: r.p for r in found.withColumn("p", bound).where("p >= 0.3").select("f", "p").collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -125,10 +139,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = TRAIN_ROWS) -> tuple[dict[str, float], np.ndarray]:
-    """Feature weights (at most MOST_FEATURES) and coefficients from at most ``rows`` labelled documents; ``labels`` (doc_id, label)."""
-    chosen = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    # At most `rows` short rows: a proven bound.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 2).alias("half"))
+    """Feature weights and coefficients from at most ``rows`` labelled documents; ``labels`` (doc_id, label)."""
+    chosen = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    # At most `rows` short rows: a proven bound.  Of documents of one id one text teaches, so texts are no more either.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = texts.select("text", F.col("label").cast("int").alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 2).alias("half"))
     texts = common.written(texts, "labelled")
     half = _weights(texts.where("half = 0"), counts)
 

@@ -185,6 +185,62 @@ def test_deobfuscation():
         assert model.restore(same) == same
 
 
+MODEL_TEXTS = ["you idiot stop", "such a moron", "pathetic loser", "hello there world", "you are a stupid idiot"] * 50
+
+
+@pytest.fixture(scope="module")
+def model():
+    return deobfuscation.Model(deobfuscation.trigram_counts(MODEL_TEXTS, deobfuscation.class_table()))
+
+
+def test_deobfuscation_of_any_length(model):
+    """Spans over any length, other separators, other scripts."""
+    for disguised, plain in [
+        ("p  a  t  h  e  t  i  c  m  o  r  o  n", "pathetic moron"), ("m-o-r-o-n-p-a-t-h-e-t-i-c", "moron pathetic"), ("idi" + "o" * 40 + "t", "idiot"), ("i.d-i o_t", "idiot"), ("i d i o t  y o u", "idiot you"),
+        ("1 d 1 0 t", "idiot"), ("м0локо", "мо" + "локо"), ("y o u a r e a s t u p i d i d i o t", "you are a stupid idiot"),
+    ]:
+        assert model.restore(disguised) == plain, disguised
+        assert deobfuscation.suspicious(disguised)
+    long = "i d i o t " * 20_000
+    assert set(model.restore(long).split()) == {"idiot"} and len(model.restore("x" * 300_000)) <= 3
+    assert model.restore("5 - 3 - 1 - 2") == "5 - 3 - 1 - 2"
+
+
+def test_viterbi_by_brute_force(model):
+    """The best of all readings of short lattices."""
+    from itertools import product
+
+    log_p = np.array(model.log).reshape(64, 64, 64)
+    for span in ("1d10t", "m0r-n", "st@pp", "l.0 s", "ii1", "0б3", "a_!t"):
+        parts = deobfuscation.lattice(span)
+        best = -np.inf
+        scores = {}
+        for path in product(*parts):
+            a = b = 0
+            s, text, ok = 0.0, "", True
+            for x, c, cost in path:
+                s -= cost
+                if c == 0 and b == 0:
+                    ok = False
+                if c >= 0:
+                    s += log_p[a, b, c]
+                    a, b = b, c
+                text += x
+            if ok:
+                s += log_p[a, b, 0] if b else 0.0
+                scores[text] = max(scores.get(text, -np.inf), s)
+                best = max(best, s)
+        assert abs(scores[model.viterbi(parts)] - best) < 1e-9
+
+
+def test_toxicity_sees_words_within_spaced_letters():
+    weights = toxicity.Weights({"moron": 0.9, "idio*": 0.8})
+    assert weights.within("suchamoronhere") == ["moron"]
+    table = deobfuscation.class_table()
+    plain = deobfuscation.Model(deobfuscation.trigram_counts(["hello there"], table))
+    assert toxicity.evidence("q z m o r o n x k", plain, weights)[0] == 0.9 and toxicity.evidence("hello", plain, weights)[0] == 0
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     df, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
@@ -202,6 +258,10 @@ def test_toxicity_edges(spark):
     some = spark.createDataFrame([(0, 1), (1, None), (2, 0), (99, 1), (0, 1)], "doc_id long, toxic int")
     assert len(toxicity.toxicity(docs(spark), some).collect()) == len(TEXTS)
     assert toxicity.toxicity(empty(spark), none).count() == 0
+    # Repeated ids on both sides teach no more than the bound.
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(30)], "doc_id long, text string")
+    counts = toxicity.character_model(many)
+    toxicity.train(many, spark.createDataFrame([(1, 1)] * 20, "doc_id long, label int"), counts, rows=5)
 
 
 CALLS = [
