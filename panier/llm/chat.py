@@ -5,15 +5,20 @@ a topological order (a result after its call, a call after the calls it names in
 can; arguments are validated against the tools' schemas; and each item is serialised as canonical JSON (keys sorted, no white space).
 
 The order is a key, (place, depth, turn): place is the largest turn among an item and what it depends on, depth counts dependencies
-within one place.  No conversation is ever gathered in one task.  Only dependencies that turns contradict are relaxed, round by round.
+within one place.  No conversation is ever gathered in one task.  Only what follows, directly or not, from a dependency that turns
+contradict is put in order, by layers: what waits for nothing is settled, round by round, and what is left in the end waits for a cycle.
+There are as many rounds as such a chain has items, however many conversations there are.
 
 Edge cases: repeated rows are one item with a count; a result without call is 'orphan', a call without result 'open', a second call of
-one identifier 'repeated'; a cycle is 'cycle'; bad JSON and null or empty texts are plain messages; a null conversation is one of its
+one identifier 'repeated'; what depends on a cycle is 'cycle' and keeps its turn; calls named in ``after`` that are not there are no
+dependencies; bad JSON and null or empty texts are plain messages, texts of any length are kept whole; a null conversation is one of its
 own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +45,28 @@ def items(messages: DataFrame) -> DataFrame:
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Conversations without tools as items: a user's turn is a call of ``reply``, the next turn, if the assistant's, its result."""
+    """Conversations without tools as items, with links, orders and arguments of all sorts, by conversation and turn.
+
+    A user's turn is a call and the assistant's a result: of the turn before, or in every fourth conversation of the turn after.  In the
+    others a call names the calls of the two turns before it in ``after``, or of the two turns after it, or those of turns 0 and 2 name
+    each other.  Calls are of the tool ``reply``, every seventh of one that is not there; its arguments are a prompt and the turn, of
+    which some lack the prompt, have the turn as a text, or one parameter more."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
-    user, reply = F.col("role") == "user", F.col("role") == "assistant"
-    arguments = F.when(user, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")))
+    name = lambda by: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") + by).cast("string"))
+    user, reply, sort, mix = F.col("role") == "user", F.col("role") == "assistant", F.pmod("conv_id", F.lit(4)), F.col("conv_id") + F.col("turn")
+    prompt, turn = F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn")
+    arguments = (
+        F.when(mix % 5 == 1, F.to_json(F.struct("turn"))).when(mix % 5 == 2, F.to_json(F.struct(prompt, turn.cast("string").alias("turn"))))
+        .when(mix % 5 == 3, F.to_json(F.struct(F.lit(1).alias("n"), prompt, "turn"))).otherwise(F.to_json(F.struct(prompt, "turn")))
+    )
+    after = (
+        F.when(sort == 0, F.array(name(-2), name(-1))).when(sort == 1, F.array(name(1), name(2)))
+        .when((sort == 2) & (turn == 0), F.array(name(2))).when((sort == 2) & (turn == 2), F.array(name(-2)))
+    )
     return rows.select(
         "conv_id", "turn", "role", "copies", F.lit(0).alias("n"), F.when(user, "call").when(reply, "result").otherwise("message").alias("kind"),
-        F.when(user, name(F.col("turn"))).when(reply, name(F.col("turn") - 1)).alias("call_id"), F.when(user, F.lit("reply")).alias("name"),
-        arguments.alias("arguments"), F.lit(None).cast("array<string>").alias("after"), F.when(~user, F.col("text")).alias("text"),
+        F.when(user, name(0)).when(reply & (sort == 3), name(1)).when(reply, name(-1)).alias("call_id"), F.when(user & (mix % 7 == 6), "search").when(user, "reply").alias("name"),
+        F.when(user, arguments).alias("arguments"), F.when(user, after).alias("after"), F.when(~user, F.col("text")).alias("text"),
     )
 
 
@@ -69,41 +87,67 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def _ordered(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """item, place, depth, cyclic for the items that turns do not put in order; ``edges`` (conv, parent, child, tp, tc)."""
-    wrong = common.written(edges.where("tp >= tc"), "contradictions")
+def _hashed(df: DataFrame) -> DataFrame:
+    """The side of a join that has one row a key: its tasks hold it as a hash table."""
+    return df.hint("shuffle_hash")
+
+
+def _ordered(rows: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """item, place, depth, cyclic of the items that turns do not put in order; ``edges`` (parent, child, tp, tc)."""
+    wrong = common.written(edges.where("tp >= tc").select(F.col("child").alias("item")).distinct(), "contradictions")
     if wrong.isEmpty():
         return None
-    # Everything that follows from an item out of place may move as well.
     edges = common.written(edges, "dependencies")
-    state = common.written(rows.select("item", F.col("turn").alias("place"), F.lit(0).alias("depth")), "order")
-    # Without cycles no chain has more links than its conversation has items with dependencies; in a cycle something always moves.
-    limit = edges.groupBy("conv").agg(F.countDistinct("child").alias("n")).agg(F.max("n")).first()[0] + 1
-    for turn in range(10**9):
-        bound = edges.join(state.withColumnsRenamed({"item": "parent", "place": "p", "depth": "d"}), "parent").groupBy("child").agg(F.max(F.struct(F.col("p").alias("place"), (F.col("d") + 1).alias("depth"))).alias("b"))
-        own = F.struct("place", "depth")
-        new = state.join(bound.withColumnRenamed("child", "item"), "item", "left").select("item", F.greatest(own, F.coalesce("b", own)).alias("s"), (F.coalesce("b", own) > own).alias("moved"))
-        new = common.written(new.select("item", "s.place", "s.depth", "moved"), "order")
-        if new.where("moved").isEmpty() or turn > limit:
-            return new.select("item", "place", "depth", F.col("moved").alias("cyclic"))
-        state = new.drop("moved")
+    # Everything that follows from an item out of place may move as well.
+    moved = last = wrong
+    while True:
+        follows = edges.join(last.withColumnRenamed("item", "parent"), "parent", "left_semi").select(F.col("child").alias("item")).distinct()
+        last = common.written(follows.join(moved, "item", "left_anti"), "follows")
+        if last.isEmpty():
+            break
+        moved = common.written(moved.unionByName(last), "moved")
+    inner = edges.join(moved.withColumnRenamed("item", "child"), "child", "left_semi").join(moved.select(F.col("item").alias("parent"), F.lit(True).alias("waits")), "parent", "left")
+    inner = common.written(inner, "inner")
+    own = F.struct(F.col("turn").alias("place"), F.lit(0).alias("depth"))
+    outer = inner.where("waits IS NULL").groupBy("child").agg(F.max(F.struct(F.col("tp").alias("place"), F.lit(1).alias("depth"))).alias("b"))
+    rest = rows.select("item", own.alias("s")).join(_hashed(moved), "item").join(_hashed(outer.withColumnRenamed("child", "item")), "item", "left")
+    rest = common.written(rest.select("item", F.greatest("s", F.coalesce("b", "s")).alias("s")), "rest")
+    waits = inner.where("waits").select("parent", "child")
+    settled = []
+    while True:
+        ready = common.written(rest.join(waits.select(F.col("child").alias("item")).distinct(), "item", "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        settled.append(ready)
+        if len(settled) > 16:
+            settled = [common.written(reduce(DataFrame.unionByName, settled), "settled")]
+        bound = waits.join(_hashed(ready.withColumnRenamed("item", "parent")), "parent").groupBy("child").agg(F.max(F.struct(F.col("s.place").alias("place"), (F.col("s.depth") + 1).alias("depth"))).alias("b"))
+        rest = rest.join(ready.select("item"), "item", "left_anti").join(_hashed(bound.withColumnRenamed("child", "item")), "item", "left")
+        rest = common.written(rest.select("item", F.greatest("s", F.coalesce("b", "s")).alias("s")), "rest")
+        waits = common.written(waits.join(ready.select(F.col("item").alias("parent")), "parent", "left_anti"), "waits")
+    cyclic = rows.join(rest.select("item"), "item", "left_semi").select("item", own.alias("s"), F.lit(True).alias("cyclic"))
+    done = [x.select("item", "s", F.lit(False).alias("cyclic")) for x in settled]
+    return reduce(DataFrame.unionByName, [cyclic, *done]).select("item", "s.place", "s.depth", "cyclic")
 
 
 def linked(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """conv_id, place, depth, turn, n, kind, call_id, status, problems, copies, json."""
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
-    rows = common.written(rows.withColumns({"conv": key, "item": F.xxhash64("conv_id", "turn", "n", "role", "kind", "call_id", "name", "arguments", "text")}), "items")
+    # 128 bits of all that tells items apart, nulls in their places.
+    same = F.unhex(F.md5(F.to_json(F.struct("conv_id", "turn", "n", "role", "kind", "call_id", "name", "arguments", "text"), {"ignoreNullFields": "false"})))
+    rows = common.written(rows.withColumns({"conv": key, "item": same}), "items")
     calls = rows.where("kind = 'call' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "n", "item")).alias("c")).select("conv", "call_id", F.col("c.item").alias("parent"), F.col("c.turn").alias("tp"))
+    calls = common.written(calls, "calls")
     answered = rows.where("kind = 'result'").groupBy("conv", "call_id").agg(F.count("*").alias("results"))
     after = rows.where("kind = 'call'").select("conv", "item", "turn", F.explode("after").alias("call_id"))
-    needs = rows.where("kind = 'result'").select("conv", "item", "turn", "call_id").unionByName(after)
-    edges = needs.join(calls, ["conv", "call_id"]).select("conv", F.col("parent"), F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
+    needs = rows.where("kind = 'result'").select("conv", "item", "turn", "call_id").unionByName(after).distinct()
+    edges = needs.join(_hashed(calls), ["conv", "call_id"]).select("parent", F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
     order = _ordered(rows, edges)
-    out = rows.join(calls.drop("tp"), ["conv", "call_id"], "left").join(answered, ["conv", "call_id"], "left")
+    out = rows.join(_hashed(calls.drop("tp")), ["conv", "call_id"], "left").join(_hashed(answered), ["conv", "call_id"], "left")
     if order is None:
         out = out.withColumns({"place": F.col("turn"), "depth": F.lit(0), "cyclic": F.lit(False)})
     else:
-        out = out.join(order, "item")
+        out = out.join(_hashed(order), "item", "left").withColumns({"place": F.coalesce("place", "turn"), "depth": F.coalesce("depth", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))})
     wrong = F.when(F.col("kind") == "call", problems(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     status = (
         F.when(F.col("cyclic"), "cycle").when((F.col("kind") == "result") & F.col("parent").isNull(), "orphan").when((F.col("kind") == "call") & (F.col("parent") != F.col("item")), "repeated")

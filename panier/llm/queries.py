@@ -99,12 +99,24 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DIST
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-OP4 = """WITH c AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
-k AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id FROM c),
-l AS (SELECT k.*, EXISTS (SELECT 1 FROM k o WHERE o.kind = 'call' AND o.call_id = k.call_id) AS called, EXISTS (SELECT 1 FROM k o WHERE o.kind = 'result' AND o.call_id = k.call_id) AS answered FROM k)
-SELECT conv_id, turn AS place, 0 AS depth, turn, 0 AS n, kind, call_id, CASE WHEN kind = 'call' AND NOT answered THEN 'open' WHEN kind = 'result' AND NOT called THEN 'orphan' ELSE 'ok' END AS status, '' AS problems, copies,
-CASE kind WHEN 'call' THEN '{"role":' || to_json(role)::VARCHAR || ',"tool_calls":[{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"reply"}]}'
-WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":' || to_json(call_id)::VARCHAR || '}' ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' END AS json FROM l"""
+_ID = "conv_id || '-' || (turn + {})"
+_PROMPT = "'\"prompt\":' || to_json(coalesce(text, ''))::VARCHAR"
+OP4 = f"""WITH RECURSIVE c AS (SELECT conv_id, turn::BIGINT AS turn, role, text, count(*) AS copies, row_number() OVER () AS item, conv_id % 4 AS sort, conv_id + turn AS mix FROM conversations GROUP BY ALL),
+k AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  CASE WHEN role = 'user' THEN {_ID.format(0)} WHEN role = 'assistant' AND sort = 3 THEN {_ID.format(1)} WHEN role = 'assistant' THEN {_ID.format(-1)} END AS call_id, CASE WHEN mix % 7 = 6 THEN 'search' ELSE 'reply' END AS name,
+  CASE WHEN sort = 0 THEN [{_ID.format(-2)}, {_ID.format(-1)}] WHEN sort = 1 THEN [{_ID.format(1)}, {_ID.format(2)}] WHEN sort = 2 AND turn = 0 THEN [{_ID.format(2)}] WHEN sort = 2 AND turn = 2 THEN [{_ID.format(-2)}] ELSE [] END AS after,
+  CASE mix % 5 WHEN 1 THEN '{{"turn":' || turn || '}}' WHEN 2 THEN '{{' || {_PROMPT} || ',"turn":"' || turn || '"}}' WHEN 3 THEN '{{"n":1,' || {_PROMPT} || ',"turn":' || turn || '}}' ELSE '{{' || {_PROMPT} || ',"turn":' || turn || '}}' END AS arguments,
+  CASE WHEN role <> 'user' THEN '' WHEN mix % 7 = 6 THEN 'unknown tool' ELSE CASE mix % 5 WHEN 1 THEN 'prompt is missing' WHEN 2 THEN 'turn is no integer' WHEN 3 THEN 'n is unknown' ELSE '' END END AS problems FROM c),
+p AS (SELECT call_id, arg_min(item, (turn, item)) AS parent FROM k WHERE kind = 'call' GROUP BY 1),
+e AS (SELECT DISTINCT item AS child, parent FROM (SELECT item, call_id FROM k WHERE kind = 'result' UNION ALL SELECT item, unnest(after) FROM k WHERE kind = 'call') JOIN p USING (call_id)),
+a AS (SELECT item, item AS up, 0 AS dist FROM k UNION SELECT a.item, e.parent, a.dist + 1 FROM a JOIN e ON e.child = a.up WHERE a.dist < (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY conv_id))),
+y AS (SELECT DISTINCT item FROM a WHERE up IN (SELECT item FROM a WHERE item = up AND dist > 0)),
+o AS (SELECT a.item, max((u.turn, a.dist)) AS s FROM a JOIN c u ON u.item = a.up GROUP BY 1),
+l AS (SELECT k.*, y.item IS NOT NULL AS cyclic, s, EXISTS (SELECT 1 FROM k o WHERE o.kind = 'result' AND o.call_id = k.call_id) AS answered, p.parent FROM k LEFT JOIN y USING (item) JOIN o USING (item) LEFT JOIN p USING (call_id))
+SELECT conv_id, CASE WHEN cyclic THEN turn ELSE s[1] END AS place, CASE WHEN cyclic THEN 0 ELSE s[2] END AS depth, turn, 0 AS n, kind, call_id,
+CASE WHEN cyclic THEN 'cycle' WHEN kind = 'result' AND parent IS NULL THEN 'orphan' WHEN kind = 'call' AND parent <> item THEN 'repeated' WHEN problems <> '' THEN 'invalid' WHEN kind = 'call' AND NOT answered THEN 'open' ELSE 'ok' END AS status, problems, copies,
+CASE kind WHEN 'call' THEN '{{"role":' || to_json(role)::VARCHAR || ',"tool_calls":[{{"arguments":' || arguments || ',"id":' || to_json(call_id)::VARCHAR || ',"name":"' || name || '"}}]}}'
+WHEN 'result' THEN '{{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":' || to_json(call_id)::VARCHAR || '}}' ELSE '{{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}}' END AS json FROM l"""
 
 
 def oracle_sql() -> dict[str, str]:
