@@ -2,7 +2,7 @@
 
 The pre-tokenizers of the two vocabularies never form a token over a single space or newline that has other characters on both
 sides (a byte-level token may begin with the space), so a text's ids are those of its pieces in order.  Texts with other white
-space go to the library whole.
+space or with a special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # The library reads these as one id wherever they stand, so texts that have any go to it whole.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         n = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # the machine is little-endian, as the files are
@@ -78,6 +79,8 @@ class Encoder:
     def bytes_of(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return self.whole(text)
         # A line's first piece keeps its newline; the text's own first piece borrows one.
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:] if self.keeps_space else text.replace("\n", " ").split(" ")
         different = set(pieces)

@@ -8,7 +8,9 @@ descending length, is packed greedily: laid end to end and cut at window ends, s
 A document finds its place by its rank among the remainders of its length.  Ranks are local counters plus prefix sums by
 (part, length), so that a length which a third of all documents share never meets in one task.
 
-Edge cases: a null text is an empty one and has the end id only; repeated rows are packed once each; an empty table gives no piece.
+Edge cases: a null text is an empty one and has the end id only; repeated rows and rows of null or equal doc_id are packed once each;
+documents of equal length are in order of part and place in it, which settles ties; a text of any length is as many full windows as it
+takes and a remainder; an empty table gives no piece; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def combinations(hist: np.ndarray, window: int, heads3: int = 96, heads4: int = 24) -> list[tuple[int, ...]]:
-    """Combinations of lengths that sum to the window: all pairs, triples of two and fours of three frequent lengths with any that completes them."""
+    """Combinations of lengths that sum to the window: all pairs, triples of two of the ``heads3`` commonest lengths and fours of three of
+    the ``heads4`` commonest with any that completes them.  The bounds keep the enumeration shallow; they drop no document, as what no
+    combination takes is packed greedily."""
     there = hist > 0
     lengths = np.flatnonzero(there)
     out = {(int(window - a), int(a)) for a in lengths if a <= window - a and there[window - a]}
@@ -124,19 +128,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         hist[n] = c
     hist[0] = 0
     slots, sequences, stream = plan(hist, window)
-    full_base, total = {}, 0
-    for part, n in sorted(tuple(r) for r in ranked.groupBy("part").agg(F.sum("windows")).collect()):  # a row per part
-        full_base[part] = total
-        total += n
+    # Bases of the full windows: prefix sums over a row per part.
+    full = ranked.groupBy("part").agg(F.sum("windows").alias("w")).select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("full"))
     first_full = sequences + -(-stream // window)
     bases = cells.withColumn("base", F.sum("n").over(Window.partitionBy("rem").orderBy("part")) - F.col("n")).select("part", "rem", "base")
-    placed = ranked.join(bases.repartition("part"), ["part", "rem"]).withColumn("k", F.col("base") + F.col("rank"))
+    placed = ranked.join(bases.repartition("part"), ["part", "rem"]).join(full, "part").withColumn("k", F.col("base") + F.col("rank"))
     if len(slots) == 0:
         slots = pd.DataFrame([(-1, 0, 0, 0, 0)], columns=slots.columns)
     # At most a few slots for each combination enumerated and one for each length: bounded by the window, not by the documents.
     table = F.broadcast(spark.createDataFrame(slots, "len long, lo long, hi long, seq long, at long"))
     placed = placed.join(table, (F.col("rem") == F.col("len")) & (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi")), "left")
-    bases_of = F.create_map(*[F.lit(x) for kv in full_base.items() for x in kv]) if full_base else F.lit(None).cast("map<int,bigint>")
     piece = lambda start, length, seq, at: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), seq.cast("long").alias("sequence_id"), at.cast("long").alias("offset"))
     zero, w = F.lit(0), F.lit(window)
     done = F.col("windows") * window
@@ -151,7 +152,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         .otherwise(F.array(piece(done, head, row, at % window), piece(done + head, F.col("rem") - head, row + 1, zero)))
     )
     kind = "array<struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>>"
-    placed = placed.withColumn("full", F.element_at(bases_of, F.col("part")))
     pieces = placed.select("doc_id", "part", "pos", F.col("n_tokens").alias("doc_tokens"), F.explode(F.concat(F.coalesce(fulls.cast(kind), F.array().cast(kind)), rest.cast(kind))).alias("p")).select("doc_id", "part", "pos", "doc_tokens", "p.*")
 
     def read(batches):

@@ -354,11 +354,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         table, code = hot_words.value, Alphabet(alphabet)
         prices = Prices(root, [short, *((common.mapped(f"{f}.keys", np.int64), common.mapped(f"{f}.values", np.float32)) for f in files)])
         for b in batches:
-            ids, words, ns, base, lp, free, kn, tok = [], [], [], [], [], [], [], []
+            ids, hashes, words, ns, base, lp, free, kn, tok = ([] for _ in range(9))
             texts = [words_of(t) for t in b.column("text").to_pylist()]
             spelt = prices.words([b" ".join(t).decode("utf-8", "surrogatepass") for t in texts if t], code).tolist()
             at = 0
-            for doc, text in zip(b.column("key").to_pylist(), texts, strict=True):
+            for (doc, th), text in zip(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), strict=True), texts, strict=True):
                 size = len(text)
                 own = spelt[at : at + size]
                 at += size
@@ -373,32 +373,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         rare[w] = rare.get(w, 0.0) + q
                         tally[w] += 1
                 ids += [doc] * (len(rare) + 1)
-                words += [*rare, None]
-                ns += [*tally.values(), 1]
+                hashes += [th] * (len(rare) + 1)
+                # A word has no space; what begins with one is no word and different for each text, so that no task gets them all.
+                words += [*rare, b" " + th.to_bytes(8, "little", signed=True)]
+                ns += [*tally.values(), 0]
                 z = size - tally.total()
                 base += [0.0] * len(rare) + [x + base_end]
                 lp += [*rare.values(), y + z * log_seen + log_end]
                 free += [0.0] * len(rare) + [sum(own) + size * log_word + log_end]
                 kn += [0] * len(rare) + [z + (1 if ends else 0)]
                 tok += [0] * len(rare) + [size + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(ns, pa.int32()), pa.array(base, pa.float64()), pa.array(lp, pa.float64()), pa.array(free, pa.float64()), pa.array(kn, pa.int64()), pa.array(tok, pa.int64())], names=["key", "word", "n", "base0", "lp0", "open0", "known0", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(ns, pa.int32()), pa.array(base, pa.float64()), pa.array(lp, pa.float64()), pa.array(free, pa.float64()), pa.array(kn, pa.int64()), pa.array(tok, pa.int64())], names=["doc_id", "th", "word", "n", "base0", "lp0", "open0", "known0", "tokens"])
 
-    # The key also holds the text's hash: two rows of one id and different texts stay apart, equal rows have equal results.
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    parts = keyed.select("key", "text").mapInArrow(split, "key long, word binary, n int, base0 double, lp0 double, open0 double, known0 long, tokens long")
-    rare = parts.join(priced, "word", "left")
+    # Two rows of one id and different texts stay apart; equal rows have equal results, once for each copy.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    parts = keyed.mapInArrow(split, "doc_id long, th long, word binary, n int, base0 double, lp0 double, open0 double, known0 long, tokens long")
+    text, new = F.col("n") == 0, F.col("base").isNull()
     got = (
-        rare.groupBy("key")
-        .agg(
-            F.sum(F.col("base0") + F.when(F.col("word").isNull(), 0.0).otherwise(F.col("n") * F.coalesce("base", F.lit(base_new)))).alias("b"),
-            F.sum(F.when(F.col("word").isNull(), F.col("lp0")).when(F.col("base").isNull(), F.col("n") * log_unseen).otherwise(F.col("lp0") + F.col("n") * log_seen)).alias("s"),
+        parts.join(priced, "word", "left").groupBy("doc_id", "th").agg(
+            F.sum(F.col("base0") + F.col("n") * F.coalesce("base", F.lit(base_new))).alias("b"),
+            F.sum(F.when(text, F.col("lp0")).when(new, F.col("n") * log_unseen).otherwise(F.col("lp0") + F.col("n") * log_seen)).alias("s"),
             F.sum("open0").alias("o"),
-            F.sum(F.col("known0") + F.when(F.col("base").isNull(), 0).otherwise(F.col("n"))).alias("k"),
+            F.sum(F.col("known0") + F.when(new, 0).otherwise(F.col("n"))).alias("k"),
             F.sum("tokens").alias("t"),
-            F.count(F.when(F.col("word").isNull(), 1)).alias("copies"),
+            F.count(F.when(text, 1)).alias("copies"),
         )
-        .select("key", (F.col("b") / F.col("copies")).alias("b"), (F.col("s") / F.col("copies")).alias("s"), (F.col("o") / F.col("copies")).alias("o"), F.expr("k div copies").alias("k"), F.expr("t div copies").alias("t"))
-    )
-    return keyed.select("doc_id", "held_out", "key").join(got, "key").select(
-        "doc_id", "held_out", F.col("t").alias("n_tokens"), F.col("k").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("s").alias("score"), F.col("o").alias("open_score")
-    )
+    )
+    each = lambda c: F.col(c) / F.col("copies")
+    out = got.select(
+        "doc_id", (common.crc_mod("doc_id", 7) == 2).alias("held_out"), F.expr("t div copies").alias("n_tokens"), F.expr("k div copies").alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), each("b").alias("base_score"), each("s").alias("score"), each("o").alias("open_score"), "copies",
+    )
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

@@ -13,6 +13,7 @@ TEXTS = [
     (9, "tie"),
     (9, "tie"),
     (9, "another text of the same id"),
+    (10, "special <|endoftext|> and <|startoftext|> tokens"),
 ]
 
 

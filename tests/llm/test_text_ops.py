@@ -234,6 +234,62 @@ def test_suffix_tree_scores_unseen_words_and_order(spark):
     assert abs(order.base_score - mixed.base_score) < 1e-9 and min(order.score - mixed.score, order.open_score - mixed.open_score) > 1
 
 
+def brute_tree(rows):
+    """open_score and score of each text, by dictionaries: contexts of up to five symbols, the divergence test, the longest kept suffix."""
+    words = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    train = [words(t) for d, t in rows if crc(d, 7) != 2]
+    seen = Counter(w for t in train for w in t)
+    points = Counter(c for w in seen.elements() for c in w)
+    code = {c: i for i, c in enumerate(sorted(points, key=lambda c: (-points[c], ord(c)))[:62], 1)}
+    symbols = lambda t: [0] * 5 + [0 if c == " " else code.get(c, 63) for c in " ".join(t)] + [0]
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for t in filter(None, train):
+        x = symbols(t)
+        for i in range(5, len(x)):
+            for k in range(6):
+                counts[k][tuple(x[i - k : i])][x[i]] += 1
+    top, total = counts[0][()], sum(counts[0][()].values())
+    dist = {(): [(top[i] + 1) / (total + 64) for i in range(64)]}
+
+    def longest(ctx):
+        return next(dist[ctx[i:]] for i in range(len(ctx) + 1) if ctx[i:] in dist)
+
+    for k in range(1, 6):
+        new = {}
+        for ctx, c in counts[k].items():
+            n, parent = sum(c.values()), longest(ctx[1:])
+            if n >= 4 and sum(m * math.log2(m / n / parent[i]) for i, m in c.items()) >= 12:
+                new[ctx] = [(c[i] + 4 * parent[i]) / (n + 4) for i in range(64)]
+        dist.update(new)
+    n_words, ends, once = seen.total(), len(train), sum(c == 1 for c in seen.values())
+    total = n_words + ends
+    log_word, log_end = math.log10(n_words / total), math.log10(ends / total)
+    unseen = min(0.9, max(1e-3, once / n_words))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        x, spelt = symbols(w), [0.0]
+        for i in range(5, len(x)) if w else ():
+            spelt[-1] += math.log10(longest(tuple(x[i - 5 : i]))[x[i]]) - (math.log10(0x110000) if x[i] == 63 else 0)
+            if x[i] == 0:
+                spelt.append(0.0)
+        own = [log_word + (math.log10(1 - unseen) + p if v in seen else math.log10(unseen)) for v, p in zip(w, spelt, strict=False)]
+        out.append((d, sum(spelt) + len(w) * log_word + log_end, sum(own) + log_end))
+    return out, dist, code
+
+
+@pytest.mark.parametrize("which", ["small", "edge"])
+def test_suffix_tree_by_brute_force(spark, small, which):
+    df = small if which == "small" else docs(spark)
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    want, dist, _ = brute_tree(rows)
+    got = suffix_tree.scores(df).collect()
+    assert len(got) == len(rows) and len(dist) > 5
+    for (d, o, s), r in zip(sorted(want, key=lambda x: (str(x[0]), x[1])), sorted(got, key=lambda r: (str(r.doc_id), r.open_score)), strict=True):
+        assert d == r.doc_id and math.isclose(o, r.open_score, rel_tol=1e-4, abs_tol=1e-3) and math.isclose(s, r.score, rel_tol=1e-4, abs_tol=1e-3)
+    assert all(math.isclose(sum(p), 1, abs_tol=1e-9) for p in dist.values())
+
+
 def test_suffix_tree_counts_occurrences_and_grows(spark, small):
     """A context counts as often as it occurs, across words; one of few occurrences is kept however large the corpus."""
     df = spark.createDataFrame([("ab ab",)] * 5, "text string")
