@@ -35,14 +35,18 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keeps the smallest doc_id of each group: five-word shingles, candidates by 256-bit fingerprints, Jaccard similarity 0.8 or more.
 
     Blank and null texts are one group.  Of rows of one id and text the first stays, in the order of all columns that have one."""
-    found = simhash.similar_documents(docs, SHINGLE, WORDS, SIMILARITY)
+    found = common.written(simhash.similar_documents(docs, SHINGLE, WORDS, SIMILARITY), "similar")
     key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "th"]
-    kept = found.where("keep").select(*key).distinct()
+    names = ["none", "id", "th"]
     rows = _packed(docs, docs["doc_id"].cast("long").alias("doc_id"), simhash.text_digest(docs["text"]).alias("th")).select("row", *key)
+    kept = rows.join(found.where("NOT keep").select(*key).distinct(), names, "left_anti")
+    again = common.written(found.where("keep").groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
+    if again.isEmpty():
+        return kept.select("row.*")
     order = [F.col("row").getField(f.name) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    # One shuffle by the key serves the join and the removal of repeated rows, of which each task sends one.
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("none", "id", "th").orderBy(*order))).where("nth = 1")
-    return first.join(kept, ["none", "id", "th"], "left_semi").select("row.*")
+    # Of each repeated row every task sends one.
+    first = kept.join(again, names, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*names).orderBy(*order))).where("nth = 1")
+    return kept.join(again, names, "left_anti").select("row").unionByName(first.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import contextlib
 import io
 import os
 import uuid
+import weakref
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +83,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and nothing will read again."""
+    for t in tables:
+        if (path := _paths.pop(t, None)) is not None:
+            remove(t.sparkSession, path)
 
 
 def plain(uri: str) -> str:

@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(own).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = common.written(small, "links")
+        old, edges = edges, common.written(small, "links")
+        common.done(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

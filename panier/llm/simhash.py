@@ -36,12 +36,14 @@ from .components import components
 
 #: Rows of a block of 64-bit fingerprints, which counts prune well.
 BLOCK = 16384
-#: Wide ones: a block is a SHARE-th of all rows, within these limits; a task holds two blocks.
-LEAST_BLOCK, MOST_BLOCK, SHARE = 4096, 65536, 64
+#: Wide ones: a block is a SHARE-th of all rows, within these limits, so that up to MOST_BLOCK each row goes to as many tasks whatever the
+#: input; a task holds two blocks.
+LEAST_BLOCK, MOST_BLOCK, SHARE = 1024, 131072, 16
 SEED = 42
 STRIP, SPAN = 32, 4096  # rows and columns compared at a time
 PAIRS = 1 << 16  # candidates verified at a time
 DEVIATIONS = 5  # of a binomial: what lies beyond has a probability of about 1e-6
+PARITY = 256  # bits that tell of how many shingles two sets differ at least
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -85,6 +87,11 @@ def majority(h: np.ndarray, words: int) -> bytes:
     return out.tobytes()
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each of PARITY classes of hashes whether their number is odd: two sets differ in as many shingles as these bits, or more."""
+    return np.packbits((np.bincount((h >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (binary)."""
 
@@ -233,8 +240,8 @@ def bound(share: float, bits: int) -> int:
 
 
 def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
-    """doc_id, th (a digest of the text), node (one of its distinct shingles), fp of them, n, and where in the shared files they are
-    (part, at)."""
+    """doc_id, th (a digest of the text), node (one of its distinct shingles), fp of them followed by their parities, n, and where in the
+    shared files they are (part, at)."""
 
     def run(batches):
         import xxhash
@@ -250,7 +257,7 @@ def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
                 for h in sets:
                     out.write(h.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("th"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([part] * len(sets), pa.int64()), pa.array(places, pa.int64())],
+                    [b.column("doc_id"), b.column("th"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) + parities(h) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([part] * len(sets), pa.int64()), pa.array(places, pa.int64())],
                     names=["doc_id", "th", "node", "fp", "n", "part", "at"],
                 )
 
@@ -263,11 +270,14 @@ def text_digest(text):
     return F.unhex(F.md5(F.concat(F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit("")))))
 
 
-def _candidates(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, first: int, radius: int, ratio: float):
-    """Index pairs within ``first`` in the first two words and within the radius in all, whose sizes differ by no more than the ratio;
-    about PAIRS at a time.  A strip of rows is compared with the columns of its window of sizes only."""
+def _candidates(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, first: int, radius: int, ratio: float, odd: tuple[np.ndarray, np.ndarray] | None = None):
+    """Index pairs within ``first`` in the first two words and within the radius in all, whose sizes differ by no more than the ratio, and
+    whose parities ``odd`` differ in no more shingles than the ratio allows; about PAIRS at a time.  A strip of rows is compared with the
+    columns of its window of sizes only."""
     order = np.argsort(nb, kind="stable")
     nb, fb = nb[order], fb[order]
+    oa, ob = (odd[0], odd[1][order]) if odd else (None, None)
+    differ = (1 - ratio) / (1 + ratio)  # of both sizes, where the similarity is the ratio
     left, right = np.searchsorted(nb, np.ceil(na * ratio - 1e-9)), np.searchsorted(nb, np.floor(na / ratio + 1e-9), "right")
     by_n = np.argsort(na, kind="stable")
     words = [np.ascontiguousarray(fb[:, k]) for k in range(2)]
@@ -299,8 +309,12 @@ def _candidates(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray,
                 ok = (v >= left[u]) & (v < right[u])
                 u, v = u[ok], v[ok]
                 ok = np.bitwise_count(fa[u] ^ fb[v]).sum(1) <= radius
-                held.append((u[ok], order[v[ok]]))
-                size += int(ok.sum())
+                u, v = u[ok], v[ok]
+                if odd:
+                    ok = np.bitwise_count(oa[u] ^ ob[v]).sum(1) <= differ * (na[u] + nb[v]) + 1e-6
+                    u, v = u[ok], v[ok]
+                held.append((u, order[v]))
+                size += len(u)
                 if size >= PAIRS:
                     yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                     held, size = [], 0
@@ -314,13 +328,14 @@ def _verify(words: int, similarity: float, folder: str):
     radius, first = bound(share, 64 * words), bound(share, 128)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        fp = np.frombuffer(b"".join(df["fp"]), ">u8").reshape(-1, words).astype("<u8")
+        both = np.frombuffer(b"".join(df["fp"]), ">u8").reshape(-1, words + PARITY // 64).astype("<u8")
+        fp, odd = np.ascontiguousarray(both[:, :words]), np.ascontiguousarray(both[:, words:])
         n, side, part, at, node = (df[c].to_numpy() for c in ("n", "side", "part", "at", "node"))
         ia, ib = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
         label, maps, a, b = np.arange(len(df)), common.Maps("<u8"), [], []
         shingles = lambda i: np.asarray(maps[f"{folder}/{part[i]}"][at[i] : at[i] + n[i]])
         if len(ia) and len(ib):
-            for x, y in _candidates(fp[ia], fp[ib], n[ia], n[ib], first, radius, similarity):
+            for x, y in _candidates(fp[ia], fp[ib], n[ia], n[ib], first, radius, similarity, (odd[ia], odd[ib])):
                 x, y = ia[x], ib[y]
                 keep = ((x < y) if side[0] == 1 else (x != y)) & (label[x] != label[y])
                 for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
@@ -341,7 +356,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 4, similar
     and th, components being those of the links of a Jaccard similarity of the distinct shingles of ``similarity`` or more.
 
     Fingerprints of ``words`` (two or more) times 64 bits give the candidates: their radius is wide enough for sets of any size (bound,
-    worst_share).  Every link is verified.
+    worst_share).  Every link is verified, first by parities, which can only rule out, then from the shingles.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -354,8 +369,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 4, similar
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / width + 1e-9).cast("int")
     tiled = common.written(nodes.select("node", "fp", "n", "place.part", "place.at", band.alias("x"), F.lit(0).alias("y")), "tiles")
     block = min(MOST_BLOCK, max(LEAST_BLOCK, tiled.count() // SHARE))
-    found = _by_tile_pairs(tiled, [(0, 0), (1, 0)], block, "node", _verify(words, similarity, folder))
-    roots = components(common.written(found, "near"))
+    found = common.written(_by_tile_pairs(tiled, [(0, 0), (1, 0)], block, "node", _verify(words, similarity, folder)), "near")
+    common.remove(spark, folder)
+    common.done(tiled)
+    roots = components(found)
     known = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = known.join(known.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
     same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
