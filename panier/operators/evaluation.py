@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_CLUSTERS = 10_000
+
 
 def contingency(rows: DataFrame) -> DataFrame:
     """cluster, label, c; rows of unknown label are left out on both sides."""
@@ -27,27 +29,29 @@ def _pairs(c: Column) -> Column:
     return c.cast("double") * (c.cast("double") - 1) / 2
 
 
+def _shares(rows: DataFrame) -> DataFrame:
+    """The contingency table with x and y, the sizes of the row's cluster and label: one pass, as a cell's row counts in its cluster's sum."""
+    c = contingency(rows)
+    return c.withColumns({"x": F.sum("c").over(Window.partitionBy("cluster")), "y": F.sum("c").over(Window.partitionBy("label"))})
+
+
 def ari(rows: DataFrame) -> DataFrame:
     """Adjusted Rand index; 1 where both partitions are trivial."""
-    c = contingency(rows).cache()
-    s = c.agg(F.sum(_pairs(F.col("c"))).alias("s"), F.sum("c").alias("n"))
-    a = c.groupBy("cluster").agg(F.sum("c").alias("x")).agg(F.sum(_pairs(F.col("x"))).alias("a"))
-    b = c.groupBy("label").agg(F.sum("c").alias("x")).agg(F.sum(_pairs(F.col("x"))).alias("b"))
+    half = lambda v: F.sum(F.col("c").cast("double") * (F.col(v) - 1) / 2)
+    t = _shares(rows).agg(F.sum(_pairs(F.col("c"))).alias("s"), F.sum("c").alias("n"), half("x").alias("a"), half("y").alias("b"))
     expected = F.col("a") * F.col("b") / _pairs(F.col("n"))
     top = (F.col("a") + F.col("b")) / 2
-    return s.join(a).join(b).select(F.when(top == expected, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
+    return t.select(F.when(top == expected, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
 
 
 def nmi(rows: DataFrame) -> DataFrame:
     """Mutual information over the mean of the entropies; 1 where both are zero."""
-    c = contingency(rows).cache()
-    n = c.agg(F.sum("c").cast("double").alias("n"))
-    a = c.groupBy("cluster").agg(F.sum("c").alias("x"))
-    b = c.groupBy("label").agg(F.sum("c").alias("y"))
-    h = lambda t, v, name: t.join(n).agg((-F.sum(F.col(v) / F.col("n") * F.ln(F.col(v) / F.col("n")))).alias(name))
-    mi = c.join(a, "cluster").join(b, "label").join(n).agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("x").cast("double") * F.col("y")))).alias("mi"))
-    both = F.col("hu") + F.col("hv")
-    return mi.join(h(a, "x", "hu")).join(h(b, "y", "hv")).select(F.when(both == 0, 1.0).otherwise(F.col("mi") / (both / 2)).alias("nmi"))
+    c, x, y = (F.col(v).cast("double") for v in "cxy")
+    t = _shares(rows).agg(F.sum(c).alias("n"), F.sum(c * F.ln(c / (x * y))).alias("m"), F.sum(c * F.ln(x)).alias("hx"), F.sum(c * F.ln(y)).alias("hy"))
+    n = F.col("n")
+    mi, hu, hv = F.col("m") / n + F.ln(n), F.ln(n) - F.col("hx") / n, F.ln(n) - F.col("hy") / n
+    both = hu + hv
+    return t.select(F.when(F.abs(both) < 1e-12, 1.0).otherwise(mi / (both / 2)).alias("nmi"))
 
 
 def discrimination(contained: DataFrame, labels: DataFrame, sets: DataFrame, least: int = 5, lo: float = 0.02, hi: float = 0.6, top: int = 50) -> DataFrame:
@@ -63,32 +67,56 @@ def discrimination(contained: DataFrame, labels: DataFrame, sets: DataFrame, lea
     return out.select("itemset", "support", "disc", (0.7 * F.col("disc") + 0.3 * F.col("support")).alias("score")).orderBy(F.desc(F.round("score", 9)), "itemset").limit(top)
 
 
-def pair_table(points: DataFrame, distance, most: int = 5000) -> DataFrame:
-    """a, b (a < b), ca, cb, d over all pairs of a bounded set of points (id, cluster, v): a stated set against itself.
-
-    More than ``most`` points are refused: exact silhouettes are for samples, which the caller draws."""
+def bounded(points: DataFrame, most: int) -> DataFrame:
+    """``points``, or an error if they are more than ``most``: what compares all pairs is for samples, which the caller draws."""
     if (n := points.count()) > most:
-        raise ValueError(f"{n} points; pair tables are for at most {most}")
+        raise ValueError(f"{n} points; pairs are made of at most {most}")
+    return points
+
+
+def pair_table(points: DataFrame, distance, most: int = 5000) -> DataFrame:
+    """a, b (a < b), ca, cb, d over all pairs of a bounded set of points (id, cluster, v), in as many tasks as there are cores."""
+    bounded(points, most)
     a, b = points.select(F.col("id").alias("a"), F.col("cluster").alias("ca"), F.col("v").alias("va")), points.select(F.col("id").alias("b"), F.col("cluster").alias("cb"), F.col("v").alias("vb"))
+    a = a.repartition(points.sparkSession.sparkContext.defaultParallelism)
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", "ca", "cb", distance(F.col("va"), F.col("vb")).alias("d"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "ca", "b", "cb", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("a").alias("b"), F.col("ca").alias("cb"), "d"))
+    """Each pair seen from both ends, its distance computed once."""
+    end = lambda a, ca, b, cb: F.struct(F.col(a).alias("a"), F.col(ca).alias("ca"), F.col(b).alias("b"), F.col(cb).alias("cb"))
+    return pairs.select("d", F.explode(F.array(end("a", "ca", "b", "cb"), end("b", "cb", "a", "ca"))).alias("x")).select("x.*", "d")
+
+
+def mean_distances(pairs: DataFrame) -> DataFrame:
+    """a, ca, cb, m: each point's mean distance to each cluster's other points."""
+    return both_ways(pairs).groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
+
+
+def mean_cosine_distances(points: DataFrame) -> DataFrame:
+    """The same of cosine distances, without pairs: the mean of 1 - x.y over a cluster's unit vectors y is 1 less x times their mean.
+    The clusters' sums go to every task: a vector for each cluster, of which there are MOST_CLUSTERS at most."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = points.select("id", "cluster", F.transform("v", lambda x: x / norm).alias("u"))
+    sums = unit.select("cluster", F.posexplode("u").alias("j", "x")).groupBy("cluster", "j").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: p["x"]).alias("s"), F.max("n").alias("n"))
+    sums = bounded(sums.select(F.col("cluster").alias("cb"), "s", "n"), MOST_CLUSTERS)
+    dot = F.aggregate(F.zip_with("u", "s", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    own = F.col("cluster") == F.col("cb")
+    mean = F.when(own, F.when(F.col("n") > 1, 1 - (dot - 1) / (F.col("n") - 1))).otherwise(1 - dot / F.col("n"))
+    return unit.join(F.broadcast(sums)).select(F.col("id").alias("a"), F.col("cluster").alias("ca"), "cb", mean.alias("m"))
 
 
-def silhouette(pairs: DataFrame) -> DataFrame:
-    """Mean over points of (b - a) / max(a, b); points alone in their cluster count 0."""
-    by = both_ways(pairs).groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
-    s = by.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("x"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("y"))
+def silhouette(means: DataFrame) -> DataFrame:
+    """From mean distances, the mean over points of (b - a) / max(a, b); points alone in their cluster count 0."""
+    s = means.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("x"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("y"))
     v = F.when(F.col("x").isNull() | F.col("y").isNull() | (F.greatest("x", "y") == 0), 0.0).otherwise((F.col("y") - F.col("x")) / F.greatest("x", "y"))
     return s.agg(F.avg(v).alias("silhouette"), F.count("*").alias("points"))
 
 
-def silhouette_capped(pairs: DataFrame) -> DataFrame:
+def silhouette_capped(means: DataFrame) -> DataFrame:
     """The sampled form: no neighbours in the own cluster count as distance 0, and other clusters are at most 1 away."""
-    by = both_ways(pairs).groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
-    s = by.groupBy("a").agg(F.coalesce(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))), F.lit(0.0)).alias("x"), F.least(F.lit(1.0), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m")))).alias("y"))
+    s = means.groupBy("a").agg(F.coalesce(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))), F.lit(0.0)).alias("x"), F.least(F.lit(1.0), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m")))).alias("y"))
     top = F.greatest("x", "y")
     return s.agg(F.avg(F.when(top > 0, (F.col("y") - F.col("x")) / top).otherwise(0.0)).alias("silhouette"))
 

@@ -1,4 +1,8 @@
-"""Level-wise frequent itemsets over sets and multisets, and their selection."""
+"""Level-wise frequent itemsets over sets and multisets, and their selection.
+
+Candidates of a level are made from the level below and pruned by it before any basket is looked at; the itemsets that a basket holds grow
+by one item a level, and only candidates are counted.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def item_counts(items: DataFrame, multiset: bool, least: int) -> DataFrame:
     """items (one), k, count: baskets with the item, or its occurrences."""
@@ -18,17 +24,6 @@ def _frequent(items: DataFrame, level1: DataFrame) -> DataFrame:
     return items.join(level1.select(F.col("items")[0].alias("item")), "item", "left_semi")
 
 
-def binomial(n: Column, k: int) -> Column:
-    """n over k, for a literal k; 0 where n is less."""
-    out = F.lit(1)
-    for i in range(k):
-        out = out * (n - i)
-    d = 1
-    for i in range(2, k + 1):
-        d *= i
-    return F.when(n >= k, F.floor(out / d)).otherwise(0).cast("long")
-
-
 def pairs_set(items: DataFrame, least: int) -> DataFrame:
     """Baskets that hold both of two frequent items: a self-join on the basket with map-side counts."""
     f = _frequent(items, item_counts(items, False, least)).select("basket_id", "item")
@@ -45,52 +40,66 @@ def pairs_multiset(items: DataFrame, least: int, dedupe_self_pairs: bool = False
     return both.groupBy(F.col("a.item").alias("x"), F.col("b.item").alias("y")).agg(F.sum(c).alias("count")).where(F.col("count") >= least).select(F.array("x", "y").alias("items"), F.lit(2).alias("k"), "count")
 
 
-def _subsets(cand: DataFrame, level: DataFrame, k: int) -> DataFrame:
-    """Keeps candidates whose (k - 1)-subsets without one of their first three places are all in the level below."""
-    for drop in range(min(3, k)):
-        rest = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k))
-        below = level.select(F.col("items").alias("_rest_"))
-        cand = cand.withColumn("_rest_", rest).join(below, "_rest_", "left_semi").drop("_rest_")
-    return cand
-
-
-def next_level(items: DataFrame, level1: DataFrame, below: DataFrame, k: int, multiset: bool, least: int) -> DataFrame:
-    """Itemsets of size k from those of size k - 1.  Baskets are joined with the level below through its first item and extended by
-    one item not before its last; only combinations that some basket holds are ever made."""
-    f = _frequent(items, level1)
-    bags = f.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("bag"))  # as long as a basket
-    names = F.transform("bag", lambda x: x["item"])
-    if not multiset:
-        combos = F.aggregate(names, F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda c: F.size(c) < k), lambda c: F.concat(c, F.array(x)))))
-        made = bags.where(F.size("bag") >= k).select(F.explode(F.filter(combos, lambda c: F.size(c) == k)).alias("items"), F.lit(1).cast("long").alias("c"))
-    else:
-        start = F.array(F.struct(F.array().cast("array<string>").alias("s"), F.lit(1).cast("long").alias("w")))
-
-        def extended(acc, x, m):
-            """The combinations so far with m times the item added, where the basket has as many and there is room."""
-            fits = F.filter(acc, lambda c: (F.size(c["s"]) + m <= k) & (x["n"] >= m))
-            ways = binomial(F.least(x["n"], F.lit(k).cast("long")), m)
-            return F.transform(fits, lambda c: F.struct(F.concat(c["s"], F.array(*[x["item"]] * m)).alias("s"), (c["w"] * ways).alias("w")))
-
-        def add(acc, x):
-            out = acc
-            for m in range(1, k + 1):
-                out = F.concat(out, extended(acc, x, m))
-            return out
-
-        combos = F.aggregate("bag", start, add)
-        made = bags.select(F.explode(F.filter(combos, lambda c: F.size(c["s"]) == k)).alias("x")).select(F.col("x.s").alias("items"), F.col("x.w").alias("c"))
-    counted = made.groupBy("items").agg(F.sum("c").alias("count"))
-    return _subsets(counted, below, k).where(F.col("count") >= least).select("items", F.lit(k).alias("k"), "count")
+def first_level(items: DataFrame, level1: DataFrame) -> DataFrame:
+    """basket_id, items (one), ns: where each frequent item occurs, and how often."""
+    return _frequent(items, level1).select("basket_id", F.array("item").alias("items"), F.array("n").alias("ns"))
+
+
+def _grown(held: DataFrame, frequent: DataFrame, multiset: bool) -> DataFrame:
+    """Itemsets that baskets hold, each with one more of the basket's items put before its first."""
+    first = F.col("items")[0]
+    before = F.col("item") < first
+    if multiset:
+        before = before | ((F.col("item") == first) & (F.col("n") > F.size(F.filter("items", lambda x: x == first))))
+    both = held.join(frequent.select("basket_id", "item", "n"), "basket_id").where(before)
+    return both.select("basket_id", F.concat(F.array("item"), "items").alias("items"), F.concat(F.array("n"), "ns").alias("ns"))
+
+
+def candidates(below: DataFrame, k: int, multiset: bool) -> DataFrame:
+    """items: sorted sets of size k whose subsets without one of their first three places are all in the level below."""
+    rest = F.slice("items", 2, k - 2)
+    a, b = below.select("items", rest.alias("rest")), below.select(F.col("items")[0].alias("item"), rest.alias("rest"))
+    ordered = F.col("item") <= F.col("items")[0] if multiset else F.col("item") < F.col("items")[0]
+    made = a.join(b, "rest").where(ordered).select(F.concat(F.array("item"), "items").alias("items"))
+    if k > 2:
+        made = made.withColumn("rest", F.concat(F.slice("items", 1, 2), F.slice("items", 4, k))).join(below.select(F.col("items").alias("rest")), "rest", "left_semi").select("items")
+    return made
+
+
+def occurrences(k: int) -> Column:
+    """In how many ways a basket with ``ns`` of each of ``items`` (sorted) holds them, an item counting k times at most."""
+    factorial = [1]
+    for i in range(1, k + 1):
+        factorial.append(factorial[-1] * i)
+    table = F.array(*[F.lit(x).cast("long") for x in factorial])
+    times = lambda x: F.size(F.filter("items", lambda y: y == x))
+
+    def ways(w, x):
+        n, m = F.least(F.element_at("ns", F.array_position("items", x).cast("int")), F.lit(k)).cast("int"), times(x)
+        return (w * table[n] / (table[m] * table[n - m])).cast("long")
+
+    return F.aggregate(F.array_distinct("items"), F.lit(1).cast("long"), ways)
+
+
+def counted(made: DataFrame, k: int, multiset: bool, least: int) -> DataFrame:
+    """items, k, count of what baskets hold."""
+    count = F.sum(occurrences(k)) if multiset else F.count("*")
+    return made.groupBy("items").agg(count.alias("count")).where(F.col("count") >= least).select("items", F.lit(k).alias("k"), "count")
 
 
 def mine(items: DataFrame, least: int, most: int = 5, multiset: bool = False) -> DataFrame:
-    """All levels up to ``most``; stops when one is empty.  Each level is cached, as the next is built on it."""
-    items = items.cache()
-    level1 = item_counts(items, multiset, least).cache()
-    levels = [level1]
+    """All levels up to ``most``; stops when one is empty.  Each level, and where its itemsets occur, is a written table, as the next is
+    built on it."""
+    items = written(items)
+    level1 = written(item_counts(items, multiset, least))
+    levels, frequent, made = [level1], _frequent(items, level1), first_level(items, level1)
     for k in range(2, most + 1):
-        level = ((pairs_multiset if multiset else pairs_set)(items, least) if k == 2 else next_level(items, level1, levels[-1], k, multiset, least)).cache()
+        if k == 2:  # pairs are counted without being kept
+            level, made = (pairs_multiset if multiset else pairs_set)(items, least), _grown(made, frequent, multiset)
+        else:
+            made = written(_grown(made.join(levels[-1].select("items"), "items", "left_semi"), frequent, multiset).join(candidates(levels[-1], k, multiset), "items", "left_semi"))
+            level = counted(made, k, multiset, least)
+        level = written(level)
         if level.isEmpty():
             break
         levels.append(level)

@@ -20,20 +20,23 @@ def distinct_names(names: DataFrame) -> DataFrame:
     return names.select(T.clean(F.col("name")).alias("q")).where("q <> ''").distinct()
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, of docs (doc_id, text)."""
+def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, tf, of docs (doc_id, text); of the terms ``only``, if given."""
     t = F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")
-    return docs.select("doc_id", F.explode(t).alias("term")).where("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    each = docs.select("doc_id", F.explode(t).alias("term")).where("term <> ''")
+    return (each if only is None else each.join(only, "term", "left_semi")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: float = 1.2, b: float = 0.0) -> DataFrame:
     """q, doc_id, score for queries (q): each query term is joined with its postings."""
+    terms = queries.select("q", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("q"), "[^a-z]+", " "), " "))).alias("term")).where("term <> ''")
     p = postings(docs)
+    if not b:  # lengths drop out, so no other terms need counting
+        p = postings(docs, terms.select("term").distinct())
     n = docs.agg(F.count("*").alias("n"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     length = p.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     mean = length.agg(F.avg("len").alias("avg_len"))
-    terms = queries.select("q", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("q"), "[^a-z]+", " "), " "))).alias("term")).where("term <> ''")
     idf = F.log10((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     x = terms.join(p.join(df, "term"), "term").join(F.broadcast(n))  # one row
     if b:

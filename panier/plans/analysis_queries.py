@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -261,12 +262,12 @@ SILHOUETTE = "SELECT round(avg(CASE WHEN x IS NULL OR y IS NULL OR greatest(x, y
 
 @query(f"WITH {sql_both(COSINE)}, {SIL} {SILHOUETTE}")
 def silhouette_cosine(spark, d):
-    return E.silhouette(E.pair_table(vectors(spark, d), S.cosine_distance)).select(F.round("silhouette", 6).alias("silhouette"), "points")
+    return E.silhouette(E.mean_cosine_distances(vectors(spark, d))).select(F.round("silhouette", 6).alias("silhouette"), "points")
 
 
 @query(f"WITH {sql_both(COSINE)}, {SIL} SELECT round(avg((least(y, 1.0) - coalesce(x, 0)) / greatest(least(y, 1.0), coalesce(x, 0))), 6) AS silhouette FROM si")
 def silhouette_capped(spark, d):
-    return E.silhouette_capped(E.pair_table(vectors(spark, d), S.cosine_distance)).select(F.round("silhouette", 6).alias("silhouette"))
+    return E.silhouette_capped(E.mean_cosine_distances(vectors(spark, d))).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(f"WITH {sql_both(EUCLID)}, m AS (SELECT avg(CASE WHEN ca = cb THEN d END) AS intra, avg(CASE WHEN ca <> cb THEN d END) AS inter FROM bw) SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(inter / intra, 6) AS ratio FROM m")
@@ -287,7 +288,7 @@ def silhouette_jaccard(spark, d):
         n = F.size(F.array_intersect(x, y))
         return 1 - n / (F.size(x) + F.size(y) - n)
 
-    return E.silhouette(E.pair_table(b.join(s, "id"), distance)).select(F.round("silhouette", 6).alias("silhouette"), "points")
+    return E.silhouette(E.mean_distances(E.pair_table(b.join(s, "id"), distance))).select(F.round("silhouette", 6).alias("silhouette"), "points")
 
 
 LONG = f"{V}, lg AS (SELECT id, cluster, unnest(range(0, 64)) AS j, unnest(v) AS x FROM vx)"
@@ -310,7 +311,7 @@ SMALL_SQL = {
 def _small(how: str):
     def run(spark, d):
         v = vectors(spark, d)
-        return C.small_clusters(v.select("id", "cluster"), E.pair_table(v, S.euclid), v.count() // 10, how)
+        return C.small_clusters(v, v.count() // 10, how, S.euclid)
 
     run.__name__ = f"small_cluster_{how}"
     return query(f"{SMALL} {SMALL_SQL[how]}")(run)
@@ -354,8 +355,8 @@ def variance_sum(spark, d):
 @query("WITH tk AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part), tv AS (SELECT token, embedding::DOUBLE[] AS v FROM (SELECT token, row_number() OVER (ORDER BY token) - 1 AS vec_id FROM tk) JOIN embeddings USING (vec_id)), x AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS token FROM part), y AS (SELECT id, unnest(range(0, 64)) AS j, unnest(v) AS x FROM x JOIN tv USING (token)), z AS (SELECT id, j, sum(x) / 20 AS x FROM y GROUP BY 1, 2) SELECT id, round(max(x), 6) AS most, round(sum(x), 6) AS total FROM z GROUP BY 1")
 def token_vector_mean(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
-    names_ = F.array_sort(F.collect_set("t"))  # the words that names are made of, few in any table
-    rank = p.select(F.explode("tokens").alias("t")).agg(names_.alias("a")).select(F.posexplode("a").alias("vec_id", "token"))
+    # A row for each word that names are made of.
+    rank = p.select(F.explode("tokens").alias("token")).distinct().select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("vec_id"))
     v = rank.join(table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")), "vec_id").select("token", "v")
     return ml.token_mean(p, v).select("id", F.round(F.array_max("v"), 6).alias("most"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 

@@ -146,7 +146,10 @@ def test_silhouette_brute(spark):
         d = lambda k, i=i: [np.linalg.norm(x[i] - x[j]) for j in range(20) if j != i and c[j] == k]
         own, other = d(c[i]), min(np.mean(d(k)) for k in set(c) if k != c[i])
         s.append((other - np.mean(own)) / max(other, np.mean(own)) if own else 0.0)
-    assert abs(E.silhouette(E.pair_table(points, S.euclid)).first().silhouette - np.mean(s)) < 1e-9
+    assert abs(E.silhouette(E.mean_distances(E.pair_table(points, S.euclid))).first().silhouette - np.mean(s)) < 1e-9
+    pairs = {(r.a, r.cb): r.m for r in E.mean_distances(E.pair_table(points, S.cosine_distance)).collect()}
+    means = {(r.a, r.cb): r.m for r in E.mean_cosine_distances(points).collect() if r.m is not None}
+    assert set(means) == set(pairs) and all(abs(means[k] - pairs[k]) < 1e-9 for k in pairs)
     with pytest.raises(ValueError):
         E.pair_table(points, S.euclid, most=5)
 
@@ -195,6 +198,13 @@ def test_matching(spark):
         M.match(names, foods, clusters, "none")
 
 
+def test_wide_baskets(spark):
+    """Baskets of 300 items: only candidates grow, so five levels are found at once."""
+    rows = [(b, f"i{b}x{j:03d}", 1) for b in range(6) for j in range(295)] + [(b, f"c{j}", 1) for b in range(6) for j in range(5)]
+    got = I.mine(spark.createDataFrame(rows, "basket_id long, item string, n long"), 4, 5)
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
+
+
 def test_corrections(spark):
     words = spark.createDataFrame([("tomatto",), ("onoin",), ("salt",), ("xyzzy",)], "word string")
     known = spark.createDataFrame([("tomato", 5), ("onion", 3), ("salt", 1), ("malt", 9)], "word string, freq long")
@@ -203,8 +213,7 @@ def test_corrections(spark):
 
 def test_small_clusters(spark):
     points = spark.createDataFrame([(0, 1, [0.0]), (1, 1, [1.0]), (2, 2, [10.0]), (3, 2, [11.0]), (4, 3, [9.0])], "id long, cluster long, v array<double>")
-    pairs = E.pair_table(points, S.euclid)
-    way = lambda h: {r.id: r.cluster for r in C.small_clusters(points.select("id", "cluster"), pairs, 2, h).collect()}
+    way = lambda h: {r.id: r.cluster for r in C.small_clusters(points, 2, h, S.euclid).collect()}
     assert way("remove")[4] == -1 and way("outlier_class")[4] == 4 and way("merge_nearest")[4] == 2 and way("reassign")[4] == 2
     with pytest.raises(ValueError):
         way("none")
