@@ -52,6 +52,11 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(2.0 * lcs / n)
 
 
+def zero_filled(x: Column) -> Column:
+    """0 where a number is null or not a number."""
+    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+
+
 def confidence(score: Column, exact: Column) -> Column:
     return F.when(exact, "very_high").when(score >= 0.9, "high").when(score >= 0.7, "medium").when(score >= 0.5, "low").otherwise("very_low")
 

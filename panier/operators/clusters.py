@@ -143,6 +143,51 @@ def profile(contained: DataFrame, clusters: DataFrame, least: float = 0.1, k: in
     return m.where(((F.col("some") == 1) & (F.col("mean") > least)) | ((F.col("some") == 0) & (F.col("rank") <= k))).select("cluster", "itemset", "mean", "rank")
 
 
+def item_profile(items: DataFrame, clusters: DataFrame, k: int = 10) -> DataFrame:
+    """cluster, item, count, share of its baskets, rank: each cluster's k commonest items."""
+    n = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    c = items.select("basket_id", "item").distinct().join(clusters, "basket_id").groupBy("cluster", "item").agg(F.count("*").alias("count")).join(n, "cluster")
+    w = Window.partitionBy("cluster").orderBy(F.desc("count"), "item")
+    return c.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("cluster", "item", "count", (F.col("count") / F.col("size")).alias("share"), "rank")
+
+
+def cluster_sizes(items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, baskets and their mean number of items."""
+    s = items.groupBy("basket_id").agg(F.sum("n").alias("size"))
+    return clusters.join(s, "basket_id", "left").groupBy("cluster").agg(F.count("*").alias("baskets"), F.avg(F.coalesce("size", F.lit(0))).alias("avg_items"))
+
+
+def sample_head(items: DataFrame, clusters: DataFrame, rows: int = 5, width: int = 8) -> DataFrame:
+    """cluster, basket_id, items: each cluster's first baskets with their first items, for display."""
+    w = Window.partitionBy("cluster").orderBy("basket_id")
+    first = clusters.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).drop("r")
+    held = items.select("basket_id", "item").distinct().join(first, "basket_id").groupBy("cluster", "basket_id").agg(F.array_sort(F.collect_list("item")).alias("all"))  # as long as a basket
+    return held.select("cluster", "basket_id", F.slice("all", 1, width).alias("items"), F.size("all").alias("n_items"))
+
+
+def top_by_top(rows: DataFrame, one: str, many: int, two: str, most: int) -> DataFrame:
+    """Rows of the ``many`` commonest values of one column and the ``most`` commonest of another; ties by value."""
+    best = lambda c, n: rows.groupBy(c).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), c).limit(n).select(c)
+    # At most ``many`` and ``most`` values.
+    return rows.join(F.broadcast(best(one, many)), one, "left_semi").join(F.broadcast(best(two, most)), two, "left_semi")
+
+
+def final_evaluation(rows: DataFrame) -> DataFrame:
+    """One row of (cluster, label): ari, nmi, mean purity, clusters and rows."""
+    from .evaluation import ari, nmi, per_cluster
+
+    p = per_cluster(rows).agg(F.avg("purity").alias("mean_purity"), F.count("*").alias("clusters"), F.sum("size").alias("total"))
+    return ari(rows).join(nmi(rows)).join(p)
+
+
+def largest(rows: DataFrame, k: int = 10) -> DataFrame:
+    """cluster, size, dominant, purity, rank of the k largest clusters."""
+    from .evaluation import per_cluster
+
+    w = Window.orderBy(F.desc("size"), "cluster")
+    return per_cluster(rows).orderBy(F.desc("size"), "cluster").limit(k).select("cluster", "size", "dominant", "purity", F.row_number().over(w).cast("long").alias("rank"))
+
+
 def differences(profiles: DataFrame, one: int, two: int, k: int = 5) -> DataFrame:
     """common, only_one, only_two among the k strongest itemsets of two clusters."""
     top = profiles.where((F.col("rank") <= k) & F.col("cluster").isin(one, two))

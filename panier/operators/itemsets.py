@@ -66,8 +66,18 @@ def candidates(below: DataFrame, k: int, multiset: bool) -> DataFrame:
     return made
 
 
-def occurrences(k: int) -> Column:
-    """In how many ways a basket with ``ns`` of each of ``items`` (sorted) holds them, an item counting k times at most."""
+def occurrences(k: int, most: int | None = -1) -> Column:
+    """In how many ways a basket with ``ns`` of each of ``items`` (sorted, k of them) holds them, an item counting ``most`` times at most
+    (k times if not given; None: all)."""
+    if most is None:
+        # The r-th of equal items has n - r + 1 to choose from, and r orders.
+        place = F.sequence(F.lit(1), F.lit(k))
+
+        def choice(w, i):
+            r = F.size(F.filter(F.slice("items", F.lit(1), i), lambda y: y == F.element_at("items", i)))
+            return w * (F.element_at("ns", i) - r + 1) / r
+
+        return F.aggregate(place, F.lit(1.0), choice).cast("long")
     factorial = [1]
     for i in range(1, k + 1):
         factorial.append(factorial[-1] * i)
@@ -132,6 +142,20 @@ def select_balanced(found: DataFrame, k: int) -> DataFrame:
     return select_top_support(found, k).withColumn("half", F.when(F.row_number().over(w) <= k // 2, 1).otherwise(2))
 
 
+def union_of_sizes(lists: list[DataFrame]) -> DataFrame:
+    """Lists of itemsets (items, k, count) one after another; of those with the same items, in any order, the first stays."""
+    each = reduce(DataFrame.unionByName, [x.select("items", "k", "count", F.lit(i).alias("list")) for i, x in enumerate(lists)])
+    w = Window.partitionBy(F.array_sort("items")).orderBy("list", F.desc("count"), "items")
+    return each.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def sparsity(contained: DataFrame, baskets: DataFrame, sets: DataFrame) -> DataFrame:
+    """baskets, itemsets, ones and the share of zeros of the binary matrix of baskets and itemsets."""
+    n = lambda df, c: df.agg(F.countDistinct(c).alias(c + "s"))
+    t = n(baskets, "basket_id").join(n(sets, "itemset")).join(contained.select("basket_id", "itemset").distinct().agg(F.count("*").alias("ones")))
+    return t.select(F.col("basket_ids").alias("baskets"), "itemsets", "ones", (1 - F.col("ones") / (F.col("basket_ids").cast("double") * F.col("itemsets"))).alias("sparsity"))
+
+
 def containment(items: DataFrame, sets: DataFrame) -> DataFrame:
     """(basket_id, itemset) for each itemset a basket holds whole; ``sets`` (itemset, items).  Join on the item, count, compare."""
     wanted = sets.select("itemset", F.size("items").alias("size"), F.explode("items").alias("item"))
@@ -146,11 +170,17 @@ def cooccurrence(items: DataFrame, top: int) -> DataFrame:
     return both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "count"))
 
 
-def top_combos(items: DataFrame, labels: DataFrame, size: int, k: int) -> DataFrame:
-    """label, combo, count, rank: the k commonest combinations of two or three items in each label's baskets."""
-    f = items.select("basket_id", "item").join(labels, "basket_id")
-    out = f.select("label", "basket_id", F.array("item").alias("combo"), F.col("item").alias("last"))
+def top_combos(items: DataFrame, labels: DataFrame, size: int, k: int, repeats: bool = False) -> DataFrame:
+    """label, combo, count, rank: the k commonest combinations of two or three items in each label's baskets.  With ``repeats`` every
+    occurrence of an item counts, so a combination may hold an item as often as the basket does."""
+    f = items.select("basket_id", "item", "n").join(labels, "basket_id")
+    out = f.select("label", "basket_id", F.array("item").alias("items"), F.array("n").alias("ns"))
     for _ in range(size - 1):
-        out = out.join(f.select("basket_id", F.col("item").alias("next")), "basket_id").where("next > last").select("label", "basket_id", F.concat("combo", F.array("next")).alias("combo"), F.col("next").alias("last"))
+        last = F.element_at("items", -1)
+        more = F.col("item") > last
+        if repeats:
+            more = more | ((F.col("item") == last) & (F.col("n") > F.size(F.filter("items", lambda x: x == last))))
+        out = out.join(f.select("basket_id", "item", "n"), "basket_id").where(more).select("label", "basket_id", F.concat("items", F.array("item")).alias("items"), F.concat("ns", F.array("n")).alias("ns"))
     w = Window.partitionBy("label").orderBy(F.desc("count"), "combo")
-    return out.groupBy("label", "combo").agg(F.count("*").alias("count")).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    count = F.sum(occurrences(size, None)) if repeats else F.count("*")
+    return out.groupBy("label", F.col("items").alias("combo")).agg(count.alias("count")).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

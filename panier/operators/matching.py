@@ -80,12 +80,29 @@ def candidates_of(foods: DataFrame) -> DataFrame:
     return foods.select(F.col("food")).distinct().withColumn("cleaned", T.clean(F.col("food"))).where("cleaned <> ''")
 
 
+def respelt(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """q, c: each name with every word at its commonest known (word, freq) within one edit; names with a word that has none are left out."""
+    w = queries.select("q", F.posexplode(F.split("q", " ")).alias("pos", "word")).where("word <> ''")
+    best = w.join(corrections(w.select("word"), known), "word", "left").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("pos", "best"))).alias("l"), F.count("*").alias("n"), F.count("best").alias("m"))
+    return best.where("n = m").select("q", F.array_join(F.transform("l", lambda x: x["best"]), " ").alias("c"))
+
+
+def searched(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """q, doc_id, score; names that find nothing are searched again as respelt by the words of the documents."""
+    found = bm25(docs, queries)
+    lost = queries.join(found.select("q").distinct(), "q", "left_anti")
+    known = postings(docs).groupBy(F.col("term").alias("word")).agg(F.sum("tf").alias("freq"))
+    again = respelt(lost, known)
+    retried = bm25(docs, again.select(F.col("c").alias("q")).distinct()).withColumnRenamed("q", "c").join(again, "c").select("q", "doc_id", "score")
+    return found.unionByName(retried)
+
+
 def evidence(names: DataFrame, foods: DataFrame, clusters: DataFrame) -> DataFrame:
     """q with ex (exact food), db (food, cluster, score) and fz (food, score); clusters (cluster_id, fdc_id, food_name)."""
     q = distinct_names(names)
     ex = candidates_of(foods).groupBy(F.col("cleaned").alias("q")).agg(F.min("food").alias("ex"))
     point = clusters.groupBy(F.lower("food_name").alias("q")).agg(F.min_by("food_name", F.struct("cluster_id", "food_name")).alias("f"), F.min("cluster_id").alias("c"))
-    found = bm25(clusters.select(F.col("fdc_id").alias("doc_id"), F.col("food_name").alias("text")), q).join(clusters.select(F.col("fdc_id").alias("doc_id"), "food_name", "cluster_id"), "doc_id")
+    found = searched(clusters.select(F.col("fdc_id").alias("doc_id"), F.col("food_name").alias("text")), q).join(clusters.select(F.col("fdc_id").alias("doc_id"), "food_name", "cluster_id"), "doc_id")
     five = top(found.withColumn("s", F.round("score", 9)), ["q"], 5, F.desc("s"), F.col("cluster_id"), F.col("doc_id"))
     bm = five.groupBy("q").agg(F.count("*").alias("hits"), F.max("s").alias("best"), F.min_by(F.struct("food_name", "cluster_id"), "rank").alias("d"))
     db = q.join(point, "q", "left").join(bm, "q", "left").select(
@@ -97,7 +114,7 @@ def evidence(names: DataFrame, foods: DataFrame, clusters: DataFrame) -> DataFra
 
 
 def choose(found: DataFrame, strategy: str) -> DataFrame:
-    """q, strategy, matched, cluster_id, score, method, confidence."""
+    """q, strategy, matched, cluster_id, score, method, confidence, and other_score, that of the way not taken."""
     db, fz, ex, has_fz = F.col("db"), F.col("fz"), F.col("ex").isNotNull(), F.col("fz_food").isNotNull()
     words = T.word_set(F.col("q"))
     simple = (F.size(words) <= 1) | F.arrays_overlap(words, F.array(*[F.lit(w) for w in COMMON_FOODS]))
@@ -118,7 +135,7 @@ def choose(found: DataFrame, strategy: str) -> DataFrame:
     return out.select(
         "q", F.lit(strategy).alias("strategy"), F.when(exact, F.col("ex")).when(by_db, F.col("db_food")).when(by_fz, F.col("fz_food")).alias("matched"),
         F.when(by_db, F.col("db_cluster")).otherwise(-1).cast("long").alias("cluster_id"), score.alias("score"), "method",
-        F.when(F.col("method").endswith("low_conf"), "low").otherwise(T.confidence(score, exact)).alias("confidence"),
+        F.when(F.col("method").endswith("low_conf"), "low").otherwise(T.confidence(score, exact)).alias("confidence"), F.when(by_db, fz).when(by_fz, db).alias("other_score"),
     )
 
 

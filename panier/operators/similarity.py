@@ -96,5 +96,28 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def jaccard_distance(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct items; 0 for two empty ones."""
+    n = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - n
+    return F.when(union == 0, 0.0).otherwise(1 - n / union)
+
+
 def hamming_share(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
+DISTANCES = {"jaccard": jaccard_distance, "cosine": cosine_distance, "hamming": hamming_share, "euclidean": euclid}
+
+
+def distance(name: str):
+    """The distance of that name between two array columns."""
+    if name not in DISTANCES:
+        raise ValueError(f"no such distance: {name}")
+    return DISTANCES[name]
+
+
+def in_order(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows with ord, the place of ``column`` in a stated order; those it does not name come last."""
+    places = rows.sparkSession.createDataFrame(list(enumerate(order)), f"ord int, `{column}` string")
+    return rows.join(F.broadcast(places), column, "left").withColumn("ord", F.coalesce("ord", F.lit(len(order))))

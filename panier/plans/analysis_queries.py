@@ -14,6 +14,7 @@ from ..operators import ml
 from ..operators import similarity as S
 from ..operators.recommend import recommend
 from ..sources.readers import table
+from ..sources.scratch import written
 from .basket_queries import HELD, LEAST, WORD, _sets, bi, items, labels
 
 QUERIES: dict = {}
@@ -121,7 +122,12 @@ def fuzzy_topk(spark, d):
 
 EVIDENCE = f"""WITH {Q}, {FOODS}, {FC}, {FUZZY}, {sql_bm25('fc', 'fdc_id', 'food_name')},
     ex AS (SELECT cleaned AS q, min(food) AS ex FROM fd GROUP BY 1), pl AS (SELECT lower(food_name) AS q, arg_min(food_name, (cluster_id, food_name)) AS f, min(cluster_id) AS c FROM fc GROUP BY 1),
-    b5 AS (SELECT q, food_name, cluster_id, round(score, 9) AS s, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, cluster_id, bm.doc_id) AS rank FROM bm JOIN fc ON fdc_id = bm.doc_id WHERE score > 0),
+    kw AS (SELECT term AS word, sum(tf) AS freq FROM po GROUP BY 1), ms AS (SELECT q FROM q WHERE q NOT IN (SELECT q FROM bm WHERE score > 0)),
+    mw AS (SELECT q, unnest(string_split(q, ' ')) AS word, unnest(range(len(string_split(q, ' ')))) AS pos FROM ms),
+    fx AS (SELECT m.word, arg_min(k.word, (k.word <> m.word, -freq, k.word)) AS best FROM (SELECT DISTINCT word FROM mw WHERE word <> '') m JOIN kw k ON damerau_levenshtein(m.word, k.word) <= 1 GROUP BY 1),
+    cq AS (SELECT q, string_agg(best, ' ' ORDER BY pos) AS c FROM mw LEFT JOIN fx USING (word) WHERE word <> '' GROUP BY 1 HAVING count(*) = count(best)),
+    bu AS (SELECT * FROM bm UNION ALL SELECT q, doc_id, sum(log10(((SELECT count(*) FROM fc) - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2)) AS score FROM (SELECT DISTINCT q, unnest(string_split(c, ' ')) AS term FROM cq) JOIN po USING (term) JOIN dq USING (term) GROUP BY 1, 2),
+    b5 AS (SELECT q, food_name, cluster_id, round(score, 9) AS s, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, cluster_id, bu.doc_id) AS rank FROM bu JOIN fc ON fdc_id = bu.doc_id WHERE score > 0),
     bb AS (SELECT q, count(*) AS hits, max(s) AS best, arg_min(food_name, rank) AS bf, arg_min(cluster_id, rank) AS bc FROM b5 WHERE rank <= 5 GROUP BY 1),
     ev AS (SELECT q, coalesce(f, bf) AS db_food, coalesce(c, bc) AS db_cluster, CASE WHEN f IS NOT NULL THEN 1.0 WHEN hits IS NOT NULL THEN least(CASE WHEN hits = 1 THEN 1.0 ELSE greatest(0.7, 1 - 0.1 * least(3, hits)) END, best) ELSE 0.0 END::DOUBLE AS db,
       ex, food AS fz_food, coalesce(score, 0.0)::DOUBLE AS fz, len({W('q')}) <= 1 OR list_has_any({W('q')}, ['oil', 'sauce', 'cheese', 'milk', 'vinegar', 'sugar']) AS simple
@@ -137,7 +143,7 @@ RULES = {
 def sql_choice(strategy: str) -> str:
     return f"""SELECT q, '{strategy}' AS strategy, CASE WHEN method = 'exact' THEN ex WHEN method LIKE 'cluster%' THEN db_food WHEN method LIKE 'fuzzy%' THEN fz_food END AS matched,
     CASE WHEN method LIKE 'cluster%' THEN db_cluster ELSE -1 END AS cluster_id, score, method,
-    CASE WHEN method LIKE '%low_conf' THEN 'low' WHEN method = 'exact' THEN 'very_high' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'very_low' END AS confidence
+    CASE WHEN method LIKE '%low_conf' THEN 'low' WHEN method = 'exact' THEN 'very_high' WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'very_low' END AS confidence, CASE WHEN method LIKE 'cluster%' THEN fz WHEN method LIKE 'fuzzy%' THEN db END AS other_score
     FROM (SELECT *, CASE WHEN method = 'exact' THEN 1.0 WHEN method LIKE 'cluster%' THEN db WHEN method LIKE 'fuzzy%' THEN fz ELSE 0.0 END::DOUBLE AS score FROM (SELECT *, CASE WHEN ex IS NOT NULL THEN 'exact' {RULES[strategy]} ELSE 'no_match' END AS method FROM ev))"""
 
 
@@ -147,20 +153,44 @@ def _evidence(spark, d):
 
 def _match(strategy: str):
     def run(spark, d):
-        return M.choose(_evidence(spark, d), strategy).withColumn("score", F.round("score", 6))
+        return M.choose(_evidence(spark, d), strategy).withColumns({c: F.round(c, 6) for c in ("score", "other_score")})
 
     run.__name__ = f"match_{strategy}"
-    return query(f"{EVIDENCE} SELECT * REPLACE (round(score, 6) AS score) FROM ({sql_choice(strategy)})")(run)
+    return query(f"{EVIDENCE} SELECT * REPLACE (round(score, 6) AS score, round(other_score, 6) AS other_score) FROM ({sql_choice(strategy)})")(run)
 
 
 for _s in M.STRATEGIES:
     _match(_s)
 
+TYPOS = "nm AS (SELECT substr(upper(split_part(p_name, ' ', 1)), 2) || ' ' || split_part(p_name, ' ', 2) || 's' || CASE WHEN p_size % 3 = 0 THEN ' zzzzzz' ELSE '' END AS name FROM part)"
+
+
+@query(f"{EVIDENCE.replace(NAMES, TYPOS)} SELECT * REPLACE (round(score, 6) AS score, round(other_score, 6) AS other_score) FROM ({sql_choice('best_of_both')})")
+def match_spell_retry(spark, d):
+    """Names of which no word is known as it stands, some with a word that none is near."""
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    wrong = table(spark, d, "part").select(F.concat(F.substring(F.upper(first), 2, 99), F.lit(" "), second, F.lit("s"), F.when(F.col("p_size") % 3 == 0, " zzzzzz").otherwise("")).alias("name"))
+    found = M.evidence(wrong, foods(spark, d), food_clusters(spark, d))
+    return M.choose(found, "best_of_both").withColumns({c: F.round(c, 6) for c in ("score", "other_score")})
+
+
+@query(
+    f"{EVIDENCE}, oc AS (SELECT l_orderkey AS basket_id, l_linenumber::BIGINT AS pos, upper(split_part(p_name, ' ', 1)) || ', fresh ' || split_part(p_name, ' ', 2) || CASE WHEN p_size % 2 = 0 THEN ' oil 2%' ELSE '' END AS name FROM lineitem JOIN part ON l_partkey = p_partkey), "
+    f"ch AS ({sql_choice('adaptive')}) SELECT basket_id, pos, matched, method, round(score, 6) AS score FROM (SELECT *, {sql_clean('name')} AS q FROM oc) LEFT JOIN ch USING (q)"
+)
+def match_by_basket(spark, d):
+    """Results for distinct names, back on every line of every order."""
+    p = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.concat(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit(", fresh "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.when(F.col("p_size") % 2 == 0, " oil 2%").otherwise(""))
+    lines = p.select(F.col("l_orderkey").alias("basket_id"), F.col("l_linenumber").cast("long").alias("pos"), name.alias("name"))
+    return M.match_baskets(lines, M.choose(_evidence(spark, d), "adaptive")).select("basket_id", "pos", "matched", "method", F.round("score", 6).alias("score"))
+
+
 ALL = f"{EVIDENCE}, al AS ({' UNION ALL '.join(sql_choice(s) for s in M.STRATEGIES)})"
 
 
 def _all(spark, d):
-    ev = _evidence(spark, d).cache()
+    ev = written(_evidence(spark, d))
     out = M.choose(ev, M.STRATEGIES[0])
     for s in M.STRATEGIES[1:]:
         out = out.unionByName(M.choose(ev, s))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 FOOD = "fdc_id bigint, description string"
 FOOD_NUTRIENT = "fdc_id bigint, nutrient_id bigint, amount double"
 NUTRIENT = "id bigint, name string, unit_name string"
@@ -37,8 +39,36 @@ def csv_glob(spark: SparkSession, paths: list[str], column: str = "food") -> Dat
     return out
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def row_blocks(rows: DataFrame, order: str, blocks: int) -> DataFrame:
+    """Rows with block, from 0: as many blocks as asked, equal but for the last, in ascending ``order`` of a unique column.
+
+    Rows are sorted by ranges; a row's place is its place in its range and the number of rows of the ranges before it."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)).cast("long") - 1))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("c"))
+    before = sizes.select("_part", (F.sum("c").over(Window.orderBy("_part")) - F.col("c")).alias("_base"))  # a row a range
+    size = -(-ranged.count() // blocks) or 1
+    at = (F.col("_base") + F.col("_at")) / F.lit(size)
+    return ranged.join(before, "_part").withColumn("block", F.floor(at).cast("long")).drop("_part", "_at", "_base")
+
+
+def cached(spark: SparkSession, folder: str, name: str, params: dict, compute) -> DataFrame:
+    """The table that ``compute`` gave for these parameters: read if it is there, else computed and kept."""
+    import hashlib
+
+    key = hashlib.sha256(json.dumps([name, params], sort_keys=True).encode()).hexdigest()[:32]
+    path = f"{folder.rstrip('/')}/{name}-{key}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON array; without a schema its columns are inferred from it."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -62,6 +92,18 @@ def json_in_zip(spark: SparkSession, path: str, member: str, schema: str) -> Dat
     return lines.select(F.from_json("line", schema).alias("r")).select("r.*")
 
 
+def itemset_dictionaries(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The rows of all files that are there; None if none is."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if fs.Path(p).getFileSystem(conf).exists(fs.Path(p))]
+    out = None
+    for p in there:
+        one = itemset_dictionary(spark, p)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def itemset_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """An object keyed by display name to rows name, items, count, support."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", ITEMSETS).alias("m"))

@@ -25,6 +25,22 @@ def described(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column_name string, column_type string")
 
 
+def latex_table(df: DataFrame) -> str:
+    """A table of a few rows in LaTeX."""
+    escape = lambda v: "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))
+    rows = [" & ".join(map(escape, r)) + r" \\" for r in [df.columns, *df.collect()]]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", rows[0], r"\hline", *rows[1:], r"\end{tabular}"]) + "\n"
+
+
+def html_table(df: DataFrame, title: str) -> str:
+    """A page with a table of a few rows."""
+    from html import escape
+
+    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+    body = "\n".join([row(df.columns, "th"), *[row(r, "td") for r in df.collect()]])
+    return f"<!DOCTYPE html>\n<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>\n<table>\n{body}\n</table></body></html>\n"
+
+
 def label_report(row) -> str:
     """One label's summary as key: value lines."""
     return "\n".join(
