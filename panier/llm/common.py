@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where ``spark.checkpoint.dir`` is unset (local tests).
+#: Used only where ``spark.checkpoint.dir`` is unset and the driver is the one machine there is (local tests).
 LOCAL_SHARED = "/tmp/checkpoints"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
@@ -42,7 +42,11 @@ def tune(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the one place that driver and executors share; it goes when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        root = LOCAL_SHARED
     path = f"{root.rstrip('/')}/panier/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
@@ -179,8 +183,22 @@ def mapped(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+class Ranged:
+    """A file of items in a store that is not mounted: a slice reads its range only."""
+
+    def __init__(self, uri: str, dtype):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        self.file, self.dtype = store.open_input_file(path), np.dtype(dtype)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * size, at.start * size), self.dtype)
+
+
 class Maps(dict):
-    """The most recently used maps of a task, few at a time."""
+    """The most recently used files of a task, few at a time, of which slices are taken: mapped, or read by ranges."""
 
     def __init__(self, dtype, most: int = 64):
         super().__init__()
@@ -189,10 +207,24 @@ class Maps(dict):
     def __missing__(self, uri: str) -> np.ndarray:
         if len(self) >= self.most:
             self.pop(next(iter(self)))
-        self[uri] = out = mapped(uri, self.dtype)
+        self[uri] = out = mapped(uri, self.dtype) if _is_local(uri) else Ranged(uri, self.dtype)
         return out
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, shares: int = 1000, salts: int = 32) -> DataFrame:
+    """An inner join on ``key``, of which ``one`` has one row each, that no key can hold up: those with more than one in ``shares`` of all
+    rows of ``many`` (so fewer than ``shares``) are dealt to ``salts`` tasks.  ``many`` is a written table."""
+    counted = many.groupBy(key).agg(F.count("*").alias("c")).where("c >= 256")
+    least = many.count() // shares
+    hot = [r[0] for r in counted.where(F.col("c") > least).select(key).collect()]  # fewer than ``shares``
+    if not hot:
+        return many.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    left = many.withColumn("salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    right = one.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo n (null: as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n

@@ -7,9 +7,11 @@
 4. Candidates are compared with the item word by word along the alignment; every window that agrees is an exact phrase match, and an
    alignment where none does although anchors met is a proximity match.
 
+``proximity`` instead takes anchors that stand a stated number of words nearer or farther than in the item.
+
 An alignment costs one row however many windows it has, and a hot passage one row per document and alignment.
 
-Edge cases: a null or empty text has no words; an item of fewer than ten words is one window, of none is none; repeated items and
+Edge cases: a null or empty text has no words; a text of any length is indexed whole; an item of fewer than ten words is one window, of none is none; repeated items and
 documents are matched each; two rows of one doc_id are told apart by their texts, equal rows have equal results; an empty benchmark
 or table gives no hits; further columns are ignored.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE = 10
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything below the digits, between digits and letters, and after the letters, within ASCII.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,7 +53,13 @@ def _small(df: DataFrame, small: bool) -> DataFrame:
 def index(docs: DataFrame, items: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """Terms (term, t) of the items and postings (doc_id, th, pos, t) of all ``docs`` (doc_id, th, text)."""
     terms = common.written(items.select(F.explode("w").alias("term")).distinct().withColumn("t", F.xxhash64("term")), "terms")
-    posts = docs.select("doc_id", "th", F.posexplode(words("text")).alias("pos", "term")).join(_small(terms, small), "term").select("doc_id", "th", "pos", "t")
+    each = docs.select("doc_id", "th", F.posexplode(words("text")).alias("pos", "term"))
+    if small:
+        posts = each.join(F.broadcast(terms), "term")
+    else:  # the commonest words meet in no one task
+        salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        posts = each.withColumn("salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["term", "salt"])
+    posts = posts.select("doc_id", "th", "pos", "t")
     return terms, common.written(posts, "postings")
 
 
@@ -77,6 +86,25 @@ def candidates(postings: DataFrame, places: DataFrame, pairs: DataFrame, small:
     return by.join(_small(wanted, small), "item").where(both).select("doc_id", "th", "item", "diag")
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, slack: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th, item_id, distance: documents in which the two rarest words of some window of an item stand in their order with up to
+    ``slack`` words more or fewer between them than in the item; the least such difference.
+
+    Their lists are intersected as those of phrases are, but by ranges of slack + 1 alignments, of which two neighbours are looked at."""
+    items = common.written(item_words(benchmark), "items")
+    small = (items.agg(F.sum(F.size("w"))).first()[0] or 0) <= BROADCAST_WORDS
+    terms, postings = index(keyed(docs, id_col, text_col), items, small)
+    places, pairs = anchors(items, terms, postings)
+    met = common.written(postings.join(_small(places, small), "t").select("doc_id", "th", "item", "place", F.col("pos").alias("x"), (F.col("pos") - F.col("place")).alias("diag")), "met")
+    ordered = pairs.select("item", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    width = slack + 1
+    first = met.join(_small(ordered, small), ["item"]).where("place = p").select("doc_id", "th", "item", "q", "x", "diag", F.explode(F.array(*[F.floor(F.col("diag") / width) + i for i in (-1, 0, 1)])).alias("range"))
+    second = met.select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.col("item").alias("item2"), F.col("place").alias("q2"), F.col("x").alias("x2"), F.col("diag").alias("diag2"), F.floor(F.col("diag") / width).alias("range2"))
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("th").eqNullSafe(F.col("h2")) & F.expr("item = item2 AND q = q2 AND range = range2")
+    both = first.join(second, same).where((F.abs(F.col("diag2") - F.col("diag")) <= slack) & ((F.col("x2") > F.col("x")) | (F.col("q") == 0)))
+    return both.groupBy("doc_id", "th", "item").agg(F.min(F.abs(F.col("diag2") - F.col("diag"))).cast("int").alias("distance")).join(_small(items.select("item", "item_id"), small), "item").drop("item")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, item and alignment: kind ('phrase' or 'proximity') and, for phrases, the starts (0-based word positions
     in the document) of the windows that agree, and their length."""

@@ -11,7 +11,8 @@ are zero, so that equal passages give equal chunks wherever they stand.  The sto
 A document's ordered list of (digest, pack, offset, size) rebuilds its file, whose SHA-256 must be the one recorded.  A lost task
 writes its pack again under the same name.
 
-Edge cases: a null text is an empty payload of 64 zero bytes; equal texts have equal files; repeated rows share all chunks; a null
+Edge cases: a null text is an empty payload of 64 zero bytes; equal texts have equal files; repeated rows share all chunks; a text of any
+length is one file, put together in memory when it is read; a file or chunk that very many documents share is spread over tasks; a null
 doc_id is kept; an empty table gives no rows; further columns are ignored.
 """
 
@@ -131,7 +132,8 @@ def _chunked(root: str):
 def _compacted(root: str):
     """Copies a pack's own chunks to its place in the store and deletes the pack, so that no more than a few are there twice.
 
-    What it returns follows from the sizes alone, so a task that runs again after its pack is gone returns the same."""
+    What it returns follows from the sizes alone, so a task that runs again after its pack is gone returns the same.  The pack goes only
+    when its copy has its name: a second attempt finds the copy, or is one that another has overtaken."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("offset")
@@ -164,14 +166,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = common.written(owners.groupBy("pack").applyInPandas(_compacted(root), "digest binary, pack int, offset long, size int"), "chunk-index")
     # Equal files have equal lists: a list is put together once for each file, then joined to the documents.
     files = lists.groupBy("media_sha256").agg(F.first("chunks").alias("chunks"))
-    ordered = (
-        files.select("media_sha256", F.posexplode("chunks").alias("seq", "c"))
-        .select("media_sha256", "seq", "c.digest")
-        .join(index, "digest")
-        .groupBy("media_sha256")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "pack", "offset", "size"))).alias("chunks"))
-    )
-    return root, lists.drop("chunks", "pack").join(ordered, "media_sha256")
+    each = common.written(files.select("media_sha256", F.posexplode("chunks").alias("seq", "c")).select("media_sha256", "seq", "c.digest"), "chunks")
+    ordered = common.spread_join(each, index, "digest").groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("seq", "pack", "offset", "size"))).alias("chunks"))
+    return root, common.spread_join(lists.drop("chunks", "pack"), ordered, "media_sha256")
 
 
 def read_media(root: str, stored: DataFrame) -> DataFrame:

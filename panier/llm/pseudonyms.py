@@ -11,7 +11,7 @@ documents, different ones stay different, and the result validates as well:
 The network alternates additions modulo two halves a and b of a domain of exactly a * b values (dates: 17 * 4297 days), so
 nothing has to be retried.  E-mail addresses are neither numbers nor dates; they get a keyed name at a reserved domain.
 
-Edge cases: a null text stays null, an empty one empty; a value that does not validate stays as it is; repeated rows have equal
+Edge cases: a null text stays null, an empty one empty; a text of any length is read whole, in time that grows with it; a value that does not validate stays as it is; repeated rows have equal
 results; a null doc_id is kept; an empty table gives no rows; further columns are ignored.
 """
 

@@ -8,7 +8,8 @@ is an access identifier; an endpoint where there is a secret word with its acces
 
 Positions come from the pieces between matches, so that all work on a text stays in its row, without shuffle.
 
-Edge cases: a null or empty text has no spans; ties of one start are in the order of KINDS; repeated rows have equal results; a null
+Edge cases: a null or empty text has no spans; a text of any length is read whole, and its parts are swept in their order, so work grows
+with them and not with their pairs; ties of one start are in the order of KINDS; repeated rows have equal results; a null
 doc_id is kept; an empty table gives no rows; further columns are ignored.
 """
 
@@ -29,19 +30,39 @@ REACH = 256
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
+FOLD = 256
+
+
+def folded(items: Column, zero: Column, step, out: str) -> Column:
+    """The arrays (of type ``out``) that ``step`` (state, item to state, array) gives one after another, as one array.
+
+    Items are folded in blocks, so that what has been found is copied once a block and not once an item."""
+    empty = F.array().cast(out)
+    blocks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")), lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)))).otherwise(F.array())
+
+    def one(acc, x):
+        state, new = step(acc["s"], x)
+        return F.struct(state.alias("s"), F.concat(acc["out"], new).alias("out"))
+
+    def block(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["s"].alias("s"), empty.alias("out")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    return F.flatten(F.aggregate(blocks, F.struct(zero.alias("s"), F.array().cast(f"array<{out}>").alias("out")), block, lambda acc: acc["out"]))
+
+
 def spans(text: Column, pattern: str, order: int, keep=None) -> Column:
     """Start and end (code points) of the matches of a pattern that never matches nothing; ``keep`` tells by the matched text."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc, x):
-        lo = acc["at"] + x["gap"]
+    def add(at, x):
+        lo = at + x["gap"]
         hi = lo + F.length(x["m"])
         one = F.array(F.struct(lo.alias("start"), F.lit(order).alias("ord"), hi.alias("end")))
-        return F.struct(hi.alias("at"), (F.concat(acc["out"], one) if keep is None else F.when(keep(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"])).alias("out"))
+        return hi, one if keep is None else F.when(keep(x["m"]), one).otherwise(_none())
 
-    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+    return folded(steps, F.lit(0), add, SPAN)
 
 
 def _none() -> Column:
@@ -66,18 +87,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     mixed = lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")
     rows = rows.withColumn("word", if_has(F.size("access") > 0, spans(text, WORD, 3, mixed)))
     rows = rows.withColumn("host", if_has((F.size("access") > 0) | (F.size("assign") > 0), spans(text, ENDPOINT, 4)))
-    return rows.select("doc_id", "assign", "access", "hex", *_linked(reach))
+    return _linked(rows, reach).select("doc_id", "assign", "access", "hex", "secret", "endpoint")
+
+
+def near(parts: Column, others: Column, reach: int) -> Column:
+    """The parts whose scope an interval of ``others`` overlaps that does not overlap the part itself: an interval join by two sweeps.
+
+    One goes up over the ends of the others and the starts of the parts, in one order, and knows the last end before each part; one goes
+    down over starts and ends, and knows the next start after it."""
+
+    def sweep(place: str, own: str, sign: int) -> Column:
+        end = F.transform(others, lambda o: F.struct((sign * o[place]).alias("key"), F.lit(0).alias("is"), o["start"].alias("start"), o["ord"].alias("ord"), o["end"].alias("end")))
+        part = F.transform(parts, lambda p: F.struct((sign * p[own]).alias("key"), F.lit(1).alias("is"), p["start"].alias("start"), p["ord"].alias("ord"), p["end"].alias("end")))
+
+        def step(last, x):
+            hit = (x["is"] == 1) & (last > x["key"] - reach)
+            return F.when(x["is"] == 0, x["key"]).otherwise(last), F.when(hit, F.array(F.struct(x["start"], x["ord"], x["end"])).cast(SPAN)).otherwise(_none())
 
+        return folded(F.array_sort(F.concat(end, part)), F.lit(-(1 << 30)), step, SPAN)
 
-def _near(part: Column, others: Column, reach: int) -> Column:
-    """Whether an interval of ``others`` overlaps the part's scope without overlapping the part itself."""
-    return F.exists(others, lambda o: (o["start"] < part["end"] + reach) & (o["end"] > part["start"] - reach) & ((o["end"] <= part["start"]) | (o["start"] >= part["end"])))
+    return F.when((F.size(parts) > 0) & (F.size(others) > 0), F.array_union(sweep("end", "start", 1), sweep("start", "end", -1))).otherwise(_none())
 
 
-def _linked(reach: int) -> list[Column]:
-    word = F.filter("word", lambda x: _near(x, F.col("access"), reach))
-    host = F.filter("host", lambda x: _near(x, F.col("assign"), reach) | (_near(x, F.col("access"), reach) & _near(x, F.col("word"), reach)))
-    return [word.alias("secret"), host.alias("endpoint")]
+def _linked(rows: DataFrame, reach: int) -> DataFrame:
+    """Adds secret and endpoint: weak parts that stand beside what complements them."""
+    word, host = F.col("word"), F.col("host")
+    beside = F.array_intersect(near(host, F.col("access"), reach), near(host, word, reach))
+    return rows.withColumns({"secret": near(word, F.col("access"), reach), "endpoint": F.array_union(near(host, F.col("assign"), reach), beside)})
 
 
 def _text(order: Column) -> Column:

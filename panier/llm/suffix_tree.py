@@ -13,7 +13,7 @@ Contexts are counted and tested in groups of equal last two characters, so neith
 are written as sorted shared files, which tasks map: the tree grows with the corpus.  Of the base score, HOT, the number of commonest
 words that every task holds, is bounded; all other words reach theirs by a join.
 
-Edge cases: a null or empty text has the end token only; repeated rows get the same scores each; a null doc_id counts as the empty
+Edge cases: a null or empty text has the end token only; a text or word of any length is scored whole; repeated rows get the same scores each; a null doc_id counts as the empty
 text for the split; an empty table gives no rows; without training texts every count is 0 and the tree is uniform.
 """
 

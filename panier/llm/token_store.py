@@ -5,7 +5,7 @@ A store is a folder with, per partition, ``part-NNNNN.bin`` (ids, little-endian,
 document, and ``manifest.json`` with each part's base, the prefix sum of the ids before it.  Readers memory-map the files.
 
 Edge cases: a null text is an empty one (its only id is the end id); equal doc_ids are ordered by text; a null doc_id comes first;
-an empty table gives a store without parts; further columns are ignored.
+a text of any length is encoded whole; an empty table gives a store without parts; further columns are ignored.
 """
 
 from __future__ import annotations

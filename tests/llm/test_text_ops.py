@@ -56,6 +56,33 @@ def test_media_shares_chunks(spark):
     assert lists[1] == lists[3] and len(set(lists[1]) & set(lists[2])) > len(lists[1]) // 2
 
 
+def test_media_of_hot_files(spark):
+    """A file and a chunk that most documents share are spread over tasks and lose no row."""
+    rows = [(i, "the same text " * 300 if i % 3 else f"text {i} " + "boilerplate " * 500) for i in range(1200)]
+    got = media.read_media(*media.store_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) for r in got], key=key) == brute_media(rows)
+
+
+def test_media_by_brute_force():
+    """Cuts and features, byte by byte."""
+    import random
+
+    rng, gear = random.Random(2), media.gear_table()
+    for size in (0, 1, 1024, 1025, 5000, 40_000, 100_000):
+        data = bytes(rng.randrange(256) for _ in range(size)) if size < 90_000 else bytes(size)
+        ends, last, h = [], 0, 0
+        for i, x in enumerate(data):
+            h = (h * 2 + int(gear[x])) & 0xFFFFFFFF
+            if i + 1 - last >= media.MIN and len(data) - last > media.MIN and (h & media.MASK == 0 or i + 1 - last == media.MAX):
+                ends.append(i + 1)
+                last = i + 1
+        want = ends + ([len(data)] if not ends or ends[-1] < len(data) else [])
+        assert media.cuts(data, gear) == want, size
+    x = [b - 128 for b in b"hello world" + bytes(53)]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+    assert media.feature(b"hello world" + bytes(53)) == f"mean={sum(x) / 64:.4f};rms={math.sqrt(sum(v * v for v in x) / 64):.4f};crossings={crossings}"
+
+
 def test_media_empty(spark):
     assert media.read_media(*media.store_media(empty(spark))).count() == 0
 
@@ -131,6 +158,34 @@ def test_secrets(spark, small, which):
         assert by[3].n_secret == 1 and by[3].n_endpoint == 1 and by[4].spans == ""
 
 
+def test_secrets_linked_by_brute_force(spark):
+    """Weak parts against all pairs of parts, in texts of many parts near and far."""
+    import random
+
+    rng = random.Random(11)
+    part = {
+        "access": lambda: "AKIA" + "".join(rng.choices("ABCDEFGHJKMN23456789", k=16)), "word": lambda: "".join(rng.choices("abcdefgh", k=12)) + "A1" + "".join(rng.choices("ABCDEFGH01", k=rng.choice([10, 200]))),
+        "host": lambda: rng.choice(["https://api.example.com/v1", "db.example.org:5432"]), "assign": lambda: "password=" + "".join(rng.choices("abcdefgh", k=14)), "gap": lambda: "x " * rng.choice([1, 20, 140, 400]),
+    }
+    texts = [" ".join(part[rng.choice(list(part))]() for _ in range(rng.randrange(1, 14))) for _ in range(80)] + [" ".join(part[k]() for k in ("access", "word", "gap", "host") * 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scan(df).collect()}
+    own = df.select("doc_id", secrets.spans(df.text, secrets.WORD, 3, lambda m: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")).alias("word"), secrets.spans(df.text, secrets.ENDPOINT, 4).alias("host"))
+    some = 0
+    for r in own.collect():
+        f, reach = found[r.doc_id], secrets.REACH
+
+        def near(x, others):
+            return any(o.start < x.end + reach and o.end > x.start - reach and (o.end <= x.start or o.start >= x.end) for o in others)
+
+        words = [x for x in r.word if near(x, f.access)]
+        hosts = [x for x in r.host if near(x, f.assign) or (near(x, f.access) and near(x, r.word) and f.access)]
+        key = lambda xs: sorted((x.start, x.end) for x in xs)
+        assert key(f.secret) == key(words) and key(f.endpoint) == key(hosts), texts[r.doc_id][:200]
+        some += len(words) + len(hosts)
+    assert some > 100
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -170,6 +225,22 @@ def test_decontamination(spark, small, which):
     assert sorted([tuple(r) for r in got], key=key) == brute_hits(rows, items)
 
 
+def test_decontamination_of_a_large_benchmark(spark, small, monkeypatch):
+    """A benchmark too large to be sent to every task gives the same."""
+    bench = common.table(spark, SF, "benchmark")
+    want = sorted((tuple(r) for r in decontamination.contamination(small, bench).collect()), key=str)
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    assert sorted((tuple(r) for r in decontamination.contamination(small, bench).collect()), key=str) == want
+
+
+def test_proximity_by_brute_force(spark):
+    """The two rarest words of a window with words put between them or taken out."""
+    bench = spark.createDataFrame([(1, "the alpha of the the omega the"), (2, "zebra")], "item_id long, text string")
+    rows = [(1, "the the the of alpha x of the the omega"), (2, "alpha of omega the the of of"), (3, "omega alpha"), (4, "a zebra"), (5, "alpha 1 2 3 4 5 6 7 8 9 omega"), (6, None)]
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.proximity(spark.createDataFrame(rows, "doc_id long, text string"), bench, 3).collect()}
+    assert got == {(1, 1): 1, (2, 1): 2, (4, 2): 0}
+
+
 def test_decontamination_kinds_and_empty(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")], "item_id long, text string")
     rows = [(1, "alpha beta gamma delta EPSILON zeta eta theta iota x lambda"), (2, "kappa kappa kappa kappa lambda")]
