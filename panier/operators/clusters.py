@@ -129,8 +129,8 @@ def quotas(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def stratified(labels: DataFrame, sample: int, seed: int = 42) -> DataFrame:
-    """basket_id, label: each label's quota of baskets, drawn without replacement by a seeded hash."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("basket_id", F.lit(seed)), "basket_id")
+    """basket_id, label: each label's quota of baskets, drawn without replacement by a seeded hash (md5, which other engines have)."""
+    w = Window.partitionBy("label").orderBy(F.md5(F.concat_ws("-", F.col("basket_id").cast("string"), F.lit(str(seed)))), "basket_id")
     return labels.join(F.broadcast(quotas(labels, sample)), "label").withColumn("r", F.row_number().over(w)).where("r <= quota").select("basket_id", "label")
 
 

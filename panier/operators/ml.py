@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .clusters import should_split
 
 
@@ -91,7 +92,7 @@ def recursive_kmeans(points: DataFrame, start: int, least: int, depth: int = 3,
     """id, label, path: clusters divided again and again while it pays, named by their way from the root.  ``points`` (id, label, v).
 
     All clusters of one depth are measured by one aggregation; a division is a k-means job on its rows."""
-    now = kmeans(points, start, seed).withColumn("path", F.concat(F.lit("cluster_"), F.col("cluster"))).select("id", "label", "v", "path").cache()
+    now = written(kmeans(points, start, seed).withColumn("path", F.concat(F.lit("cluster_"), F.col("cluster"))).select("id", "label", "v", "path"))
     for _ in range(depth):
         c = now.groupBy("path", "label").agg(F.count("*").alias("c")).groupBy("path").agg(F.sum("c").alias("size"), (1 - F.max("c") / F.sum("c")).alias("impurity"))
         parts = []
@@ -105,13 +106,13 @@ def recursive_kmeans(points: DataFrame, start: int, least: int, depth: int = 3,
         to = parts[0]
         for p in parts[1:]:
             to = to.unionByName(p)
-        now = now.join(to, "id", "left").select("id", "label", "v", F.coalesce("to", "path").alias("path")).cache()
+        now = written(now.join(to, "id", "left").select("id", "label", "v", F.coalesce("to", "path").alias("path")))
     return now.select("id", "label", "path")
 
 
 def bisecting(points: DataFrame, threshold: float, most: int = 64, seed: int = 42) -> DataFrame:
     """id, cluster: halves by 2-means every cluster whose summed variance passes the threshold, one level at a time."""
-    now = points.select("id", "v", F.lit("0").alias("path")).cache()
+    now = written(points.select("id", "v", F.lit("0").alias("path")))
     done: set[str] = set()
     while True:
         wide = [r.path for r in variance_sum(now, ["path"]).where(F.col("variance") > threshold).orderBy("path").collect() if r.path not in done]
@@ -127,7 +128,7 @@ def bisecting(points: DataFrame, threshold: float, most: int = 64, seed: int = 4
             to = c if to is None else to.unionByName(c)
         if to is None:
             break
-        now = now.join(to, "id", "left").select("id", "v", F.coalesce("to", "path").alias("path")).cache()
+        now = written(now.join(to, "id", "left").select("id", "v", F.coalesce("to", "path").alias("path")))
     ids = now.select("path").distinct().orderBy("path").collect()  # at most ``most``
     names = F.create_map(*[F.lit(x) for i, r in enumerate(ids) for x in (r.path, i)])
     return now.select("id", names[F.col("path")].alias("cluster"))
@@ -139,7 +140,7 @@ def mlp(points: DataFrame, hidden: int = 128, rounds: int = 10, seed: int = 42)
 
     x = points.withColumn("_x_", array_to_vector(F.col("v").cast("array<double>"))).withColumn("held_out", F.pmod(F.xxhash64("id"), F.lit(4)) == 0)
     index = StringIndexer(inputCol="label", outputCol="_y_", stringOrderType="alphabetAsc", handleInvalid="skip").fit(x)
-    x = index.transform(x).cache()
+    x = written(index.transform(x))
     width = len(x.select("v").first()[0])
     model = MultilayerPerceptronClassifier(layers=[width, hidden, len(index.labels)], featuresCol="_x_", labelCol="_y_", predictionCol="_p_", maxIter=rounds, seed=seed).fit(x.where(~F.col("held_out")))
     names = F.array(*[F.lit(n) for n in index.labels])

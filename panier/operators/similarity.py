@@ -37,6 +37,17 @@ def mean_by_label(items: DataFrame, labels: DataFrame, measure: Column) -> DataF
     return pair_totals(items, labels).join(s, "label", "left").select("label", "pairs", (F.coalesce("s", F.lit(0.0)) / F.col("pairs")).alias("mean"))
 
 
+def mean_cosine_by_label(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, pairs, mean of the cosine over all pairs, without any pair: an item's baskets add half the square of their sum of
+    1 / sqrt(size), less the sum of squares."""
+    f = items.select("basket_id", "item").distinct().join(labels, "basket_id")
+    x = f.join(f.groupBy("basket_id").agg(F.count("*").alias("size")), "basket_id")
+    one = 1 / F.sqrt(F.col("size").cast("double"))
+    per = x.groupBy("label", "item").agg(((F.sum(one) ** 2 - F.sum(1 / F.col("size"))) / 2).alias("s"))
+    s = per.groupBy("label").agg(F.sum("s").alias("s"))
+    return pair_totals(items, labels).join(s, "label", "left").select("label", "pairs", (F.coalesce("s", F.lit(0.0)) / F.col("pairs")).alias("mean"))
+
+
 def histogram_by_label(items: DataFrame, labels: DataFrame, measure: Column, bins: int = 10) -> DataFrame:
     """label, bin, count over [0, 1]; the pairs that share nothing are added to bin 0 by subtraction."""
     at = F.least(F.floor(measure * bins + 1e-9), F.lit(bins - 1)).cast("long")

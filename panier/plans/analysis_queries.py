@@ -356,12 +356,15 @@ def cluster_sizes_valid(spark, d):
     return C.sizes_valid(vectors(spark, d), 50)
 
 
-@query("WITH n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT label, n, greatest(1, 503 * n // (SELECT count(*) FROM orders)) AS q FROM n), g AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS r, 503 - sum(q) OVER () AS gap FROM q) SELECT label, n, (q + CASE WHEN gap > 0 AND r <= gap THEN 1 WHEN gap < 0 AND r <= -gap AND q > 1 THEN -1 ELSE 0 END)::BIGINT AS quota FROM g")
+QUOTAS = "WITH n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT label, n, greatest(1, 503 * n // (SELECT count(*) FROM orders)) AS q FROM n), g AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS r, 503 - sum(q) OVER () AS gap FROM q) SELECT label, n, (q + CASE WHEN gap > 0 AND r <= gap THEN 1 WHEN gap < 0 AND r <= -gap AND q > 1 THEN -1 ELSE 0 END)::BIGINT AS quota FROM g"
+
+
+@query(QUOTAS)
 def sample_quotas(spark, d):
     return C.quotas(labels(spark, d), 503)
 
 
-@query()
+@query(f"WITH quotas AS ({QUOTAS}) SELECT basket_id, label FROM (SELECT o_orderkey AS basket_id, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '-42'), o_orderkey) AS r FROM orders) JOIN quotas USING (label) WHERE r <= quota")
 def stratified_sample(spark, d):
     return C.stratified(labels(spark, d), 503)
 

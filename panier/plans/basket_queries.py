@@ -303,7 +303,7 @@ def jaccard_mean_by_label(spark, d):
 
 @query(OVERLAP + " SELECT label, any_value(pairs) AS pairs, round(sum(inter / sqrt(na * nb)) / any_value(pairs), 9) AS mean FROM m JOIN t USING (label) GROUP BY 1")
 def cosine_mean_by_label(spark, d):
-    return S.mean_by_label(part_items(spark, d), labels(spark, d), S.cosine()).withColumn("mean", F.round("mean", 9))
+    return S.mean_cosine_by_label(part_items(spark, d), labels(spark, d)).withColumn("mean", F.round("mean", 9))
 
 
 @query(OVERLAP + ", h AS (SELECT label, least(floor(inter / (na + nb - inter) * 10 + 1e-9), 9)::BIGINT AS bin, count(*) AS c FROM m GROUP BY 1, 2), u AS (SELECT label, bin, c FROM h UNION ALL SELECT t.label, 0, pairs - coalesce((SELECT sum(c) FROM h WHERE h.label = t.label), 0) FROM t) SELECT label, bin, sum(c)::BIGINT AS count FROM u GROUP BY 1, 2")
