@@ -37,7 +37,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = BASE - 1
 FLUSH = 2048  # parts after which what all paths share is put away
-SHORT = 64  # spans up to this length are remembered
+SHORT, REMEMBERED = 64, 50_000  # spans up to this length are remembered, and how many
+PIECE = 1 << 20  # characters counted at a time
 
 
 @functools.cache
@@ -52,8 +53,13 @@ def class_table() -> np.ndarray:
 def trigram_counts(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Counts of class trigrams over the lower-cased texts, a boundary pair before and after each."""
     points = np.frombuffer(" ".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    code = np.concatenate([[0, 0], table[points].astype(np.int64)])
-    return np.bincount((code[:-2] * BASE + code[1:-1]) * BASE + code[2:], minlength=SIZE)
+    out = np.zeros(SIZE, np.int64)
+    for at in range(0, len(points), PIECE):  # two characters again, which the first of a piece follow
+        code = table[points[max(0, at - 2) : at + PIECE]].astype(np.int32)
+        if not at:
+            code = np.concatenate([np.zeros(2, np.int32), code])
+        out += np.bincount((code[:-2] * BASE + code[1:-1]) * BASE + code[2:], minlength=SIZE)
+    return out
 
 
 def suspicious(text: str) -> bool:
@@ -119,7 +125,7 @@ class Model:
         if len(span) > SHORT:
             return self._decode(span)
         if span not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > REMEMBERED:
                 self.seen.clear()
             self.seen[span] = self._decode(span)
         return self.seen[span]

@@ -260,6 +260,7 @@ def _sets(docs: DataFrame, shingle: int, words: int, folder: str) -> DataFrame:
                     [b.column("doc_id"), b.column("th"), pa.array([xxhash.xxh128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([majority(h, words) + parities(h) for h in sets], pa.binary()), pa.array(size, pa.int64()), pa.array([part] * len(sets), pa.int64()), pa.array(places, pa.int64())],
                     names=["doc_id", "th", "node", "fp", "n", "part", "at"],
                 )
+        common.release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_digest(docs["text"]).alias("th"), docs["text"].alias("text"))
     return rows.mapInArrow(run, "doc_id long, th binary, node binary, fp binary, n long, part long, at long")

@@ -41,6 +41,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             total += deobfuscation.trigram_counts([t or "" for t in b.column(0).to_pylist()], table)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["k", "n"])
+        common.release()
 
     out = np.zeros(deobfuscation.SIZE, np.int64)
     for k, n in docs.select(text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
@@ -69,7 +70,7 @@ def _beginnings(word: str) -> list[str]:
 class Weights:
     """Each word's strongest feature; words without any are remembered, up to a number, as they come again and again."""
 
-    def __init__(self, weights: dict[str, float], most: int = 1_000_000):
+    def __init__(self, weights: dict[str, float], most: int = 300_000):
         self.weights, self.most = weights, most
         self.longest = max((len(f) for f in weights), default=0)
         self.none: set[str] = set()
@@ -173,6 +174,8 @@ def scores(docs: DataFrame, counts: np.ndarray, weights: dict[str, float], coef:
             x = np.array([evidence(t, model, own) for t in b.column(len(keep)).field(0).to_pylist()]).reshape(-1, len(coef) - 1)
             got = 1 / (1 + np.exp(-np.clip((x * coef[:-1]).sum(1) + coef[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, "score"])
+        del model, own
+        common.release()
 
     return kept.mapInArrow(run, schema)
 
