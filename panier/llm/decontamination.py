@@ -114,18 +114,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     terms, postings = index(rows, items, small)
     places, pairs = anchors(items, terms, postings)
     places, pairs = common.written(places, "anchors"), common.written(pairs, "anchor-pairs")
-    found = common.written(candidates(postings, places, pairs, small).groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "diag")).alias("c")), "candidates")
+    found = candidates(postings, places, pairs, small).groupBy("doc_id", "th", "item").agg(F.collect_list("diag").alias("diags"))  # no more than the document's words
+    found = common.written(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "diags")).alias("c")), "candidates")
     # Texts of candidates only, one of equal rows; the join's side is a small part of the table and Spark measures it at run time.
     texts = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["th"] == found["th"])).select(rows["doc_id"], rows["th"], "text", "c")
     texts = texts.select("doc_id", "th", words("text").alias("d"), "c")
-    # All alignments of a document are compared in its own row, each against its item's words.
-    one = texts.select("doc_id", "th", "d", F.explode("c").alias("c")).select("doc_id", "th", "d", "c.item", "c.diag").join(_small(items.select("item", "item_id", "w"), small), "item")
-    length = F.least(F.size("w"), F.lit(SIZE))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("w") - F.col("length")),
-        lambda i: (i + F.col("diag") >= 0) & (F.slice("d", F.greatest(i + F.col("diag"), F.lit(0)) + 1, F.col("length")) == F.slice("w", i + 1, F.col("length"))),
-    )
-    out = one.withColumn("length", length).withColumn("s", F.transform(starts, lambda i: (i + F.col("diag")).cast("int")))
+    # All alignments of a document with an item are compared in one row, which holds the words of both once.
+    one = texts.select("doc_id", "th", "d", F.explode("c").alias("c")).select("doc_id", "th", "d", "c.item", "c.diags").join(_small(items.select("item", "item_id", "w"), small), "item")
+    one = one.withColumn("length", F.least(F.size("w"), F.lit(SIZE)))
+    windows, n = F.sequence(F.lit(0), F.size("w") - F.col("length")), F.col("length")
+
+    def starts(diag):
+        agree = F.filter(windows, lambda i: (i + diag >= 0) & (F.slice("d", F.greatest(i + diag, F.lit(0)) + 1, n) == F.slice("w", i + 1, n)))
+        return F.struct(diag.alias("diag"), F.transform(agree, lambda i: (i + diag).cast("int")).alias("s"))
+
+    out = one.select("doc_id", "th", "item", "item_id", "length", F.explode(F.transform("diags", starts)).alias("x")).select("doc_id", "th", "item", "item_id", "length", "x.*")
     return out.select("doc_id", "th", "item", "item_id", "diag", F.when(F.size("s") > 0, "phrase").otherwise("proximity").alias("kind"), F.col("s").alias("starts"), "length")
 
 

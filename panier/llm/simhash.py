@@ -35,7 +35,7 @@ from . import common
 from .components import components
 
 #: Rows of a block of 64-bit fingerprints, which counts prune well.
-BLOCK = 16384
+BLOCK = 131072
 #: Wide ones: a block is a SHARE-th of all rows, within these limits, so that up to MOST_BLOCK each row goes to as many tasks whatever the
 #: input; a task holds two blocks.
 LEAST_BLOCK, MOST_BLOCK, SHARE = 1024, 131072, 16

@@ -416,3 +416,78 @@ def test_telephones_stay_apart(spark):
     areas = spark.range(0, 1000).select(F.concat(F.lit("+1"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("1550001")).alias("text"), "id").withColumnRenamed("id", "doc_id")
     got = [r.text for r in pseudonyms.pii(areas).collect()]
     assert len(set(got)) == 1000 and all(re.fullmatch(r"\+1\d{10}", t) for t in got)
+
+
+def brute_feistel(left, right, a, b, kind):
+    for i in range(10):
+        size, half = (a, right) if i % 2 == 0 else (b, left)
+        x = int(hashlib.sha256(f"{pseudonyms.KEY}|{kind}|{i}|{size}|{half}".encode()).hexdigest()[:14], 16) % size
+        if i % 2 == 0:
+            left = (left + x) % a
+        else:
+            right = (right + x) % b
+    return left, right
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Cards, addresses, social security numbers, dates and telephone numbers against the network in plain Python."""
+    import datetime
+
+    def card(d):
+        n = len(d) - 2
+        h = n // 2
+        x, y = brute_feistel(int(d[1 : 1 + h]), int(d[1 + h : -1]), 10**h, 10 ** (n - h), "card")
+        body = d[0] + f"{x:0{h}d}{y:0{n - h}d}"
+        return next(body + str(i) for i in range(10) if luhn(body + str(i)))
+
+    def ip(t):
+        o = list(map(int, t.split(".")))
+        x, y = brute_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def ssn(t):
+        area, group, serial = map(int, t.split("-"))
+        x, y = brute_feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+        return f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+    def date(t):
+        first = datetime.date(1900, 1, 1)
+        x, y = divmod((datetime.date.fromisoformat(t) - first).days, 4297)
+        x, y = brute_feistel(x, y, 17, 4297, "date")
+        return (first + datetime.timedelta(days=x * 4297 + y)).isoformat()
+
+    def phone(t):
+        area, rest = t[1:4], int(t[6:9] + t[10:])
+        x, y = brute_feistel(int(area) - 200, rest - 2_000_000, 800, 8_000_000, "phone")
+        y += 2_000_000
+        return f"({x + 200}) {y // 10000:03d}-{y % 10000:04d}"
+
+    import random
+
+    rng = random.Random(9)
+    values = []
+    for _ in range(40):
+        n = rng.randrange(13, 20)
+        body = "".join(rng.choices("0123456789", k=n - 1))
+        values.append((card, next(body + str(i) for i in range(10) if luhn(body + str(i)))))
+        values.append((ip, ".".join(str(rng.randrange(256)) for _ in range(4))))
+        values.append((ssn, f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"))
+        values.append((date, (datetime.date(1900, 1, 1) + datetime.timedelta(days=rng.randrange(17 * 4297))).isoformat()))
+        values.append((phone, f"({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{rng.randrange(10000):04d}"))
+    df = spark.createDataFrame([(i, f"x {v} y") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pii(df).collect()}
+    for i, (f, v) in enumerate(values):
+        assert got[i] == f"x {f(v)} y", (v, got[i])
+    # Different values have different pseudonyms.
+    assert len({(f.__name__, f(v)) for f, v in values}) == len(set(values))
+
+
+def test_operators_take_long_texts(spark):
+    """Very long texts, with and without white space, beside short ones."""
+    rows = [(1, "y" * 400_000), (2, "word and another, " * 25_000), (3, "1" * 50_000), (4, "a b " * 50_000)]
+    df = docs(spark, rows)
+    bench = spark.createDataFrame([(1, "word and another word and another word and another word and another")], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.contamination(df, bench).collect()} == {1: False, 2: True, 3: False, 4: False}
+    assert [r.n_hex for r in sorted(secrets.secrets(df).collect())] == [0, 0, 1, 0]
+    assert {r.doc_id: r.n_tokens for r in suffix_tree.scores(df).collect()} == {1: 2, 2: 75_001, 3: 2, 4: 100_001}
+    assert not any(r.changed for r in pseudonyms.pii(df).collect())
