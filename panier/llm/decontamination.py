@@ -135,9 +135,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and th, the text's hash."""
     found = matches(docs, benchmark, id_col, text_col).where("kind = 'phrase'")
-    spots = F.flatten(F.collect_set(F.transform("starts", lambda s: F.struct(s.alias("s"), F.col("length").alias("n")))))
+    # A start and a length in one number: sets of numbers are hashed, sets of structs would be compared in pairs.
+    spots = F.flatten(F.collect_list(F.transform("starts", lambda s: s.cast("long") * 16 + F.col("length"))))
     per = found.groupBy("doc_id", "th").agg(F.array_distinct(spots).alias("spots"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))  # at most the document's words
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda x: F.sequence(F.shiftright(x, 4), F.shiftright(x, 4) + x % 16 - 1)))))  # at most the document's words
     per = common.written(per.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2"), covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("items_sha256")), "hits")
     rows = keyed(docs, id_col, text_col)
     n_words = F.size(words("text")).cast("long")

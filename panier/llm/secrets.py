@@ -27,6 +27,7 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 REACH = 256
+CODES = "array<bigint>"
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -90,8 +91,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return _linked(rows, reach).select("doc_id", "assign", "access", "hex", "secret", "endpoint")
 
 
+def coded(span: Column) -> Column:
+    """Start and end in one number: sets of numbers are hashed, sets of structs would be compared in pairs."""
+    return F.shiftleft(span["start"].cast("long"), 31) + span["end"]
+
+
 def near(parts: Column, others: Column, reach: int) -> Column:
-    """The parts whose scope an interval of ``others`` overlaps that does not overlap the part itself: an interval join by two sweeps.
+    """The parts (coded) whose scope an interval of ``others`` overlaps that does not overlap the part itself: an interval join by two sweeps.
 
     One goes up over the ends of the others and the starts of the parts, in one order, and knows the last end before each part; one goes
     down over starts and ends, and knows the next start after it."""
@@ -102,18 +108,19 @@ def near(parts: Column, others: Column, reach: int) -> Column:
 
         def step(last, x):
             hit = (x["is"] == 1) & (last > x["key"] - reach)
-            return F.when(x["is"] == 0, x["key"]).otherwise(last), F.when(hit, F.array(F.struct(x["start"], x["ord"], x["end"])).cast(SPAN)).otherwise(_none())
+            return F.when(x["is"] == 0, x["key"]).otherwise(last), F.when(hit, F.array(coded(x))).otherwise(F.array().cast(CODES))
 
-        return folded(F.array_sort(F.concat(end, part)), F.lit(-(1 << 30)), step, SPAN)
+        return folded(F.array_sort(F.concat(end, part)), F.lit(-(1 << 30)), step, CODES)
 
-    return F.when((F.size(parts) > 0) & (F.size(others) > 0), F.array_union(sweep("end", "start", 1), sweep("start", "end", -1))).otherwise(_none())
+    return F.when((F.size(parts) > 0) & (F.size(others) > 0), F.array_union(sweep("end", "start", 1), sweep("start", "end", -1))).otherwise(F.array().cast(CODES))
 
 
 def _linked(rows: DataFrame, reach: int) -> DataFrame:
     """Adds secret and endpoint: weak parts that stand beside what complements them."""
     word, host = F.col("word"), F.col("host")
     beside = F.array_intersect(near(host, F.col("access"), reach), near(host, word, reach))
-    return rows.withColumns({"secret": near(word, F.col("access"), reach), "endpoint": F.array_union(near(host, F.col("assign"), reach), beside)})
+    parts = lambda codes, order: F.transform(F.array_sort(codes), lambda c: F.struct(F.shiftright(c, 31).cast("int").alias("start"), F.lit(order).alias("ord"), (c % (1 << 31)).cast("int").alias("end")))
+    return rows.withColumns({"secret": parts(near(word, F.col("access"), reach), 3), "endpoint": parts(F.array_union(near(host, F.col("assign"), reach), beside), 4)})
 
 
 def _text(order: Column) -> Column:
