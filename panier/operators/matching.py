@@ -27,11 +27,27 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     return (each if only is None else each.join(only, "term", "left_semi")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: float = 1.2, b: float = 0.0) -> DataFrame:
-    """q, doc_id, score for queries (q): each query term is joined with its postings."""
+def stemmed(rows: DataFrame, column: str = "term") -> DataFrame:
+    """Rows with their terms' stems: each distinct term is stemmed once."""
+    from ..functions.stem import stems
+
+    known = rows.select(column).distinct().withColumn("_stem", stems(F.col(column)))
+    return rows.join(known, column).drop(column).withColumnRenamed("_stem", column)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: float = 1.2, b: float = 0.0, stop: list[str] | None = None, stem: bool = False) -> DataFrame:
+    """q, doc_id, score for queries (q): each query term is joined with its postings.  ``stop``: words that are no terms; ``stem``:
+    terms are the words' stems."""
     terms = queries.select("q", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("q"), "[^a-z]+", " "), " "))).alias("term")).where("term <> ''")
-    p = postings(docs)
-    if not b:  # lengths drop out, so no other terms need counting
+    if stop:
+        terms = terms.where(~F.col("term").isin(stop))
+    if stem or b:
+        p = postings(docs)
+        if stop:
+            p = p.where(~F.col("term").isin(stop))
+        if stem:
+            terms, p = stemmed(terms).distinct(), stemmed(p).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    else:  # lengths drop out, so no other terms need counting
         p = postings(docs, terms.select("term").distinct())
     n = docs.agg(F.count("*").alias("n"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))

@@ -102,7 +102,7 @@ def sql_ratio(a: str, b: str) -> str:
 
 @query(f"WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x) SELECT a, b, round({sql_ratio('a', 'b')}, 6)::DOUBLE AS ratio FROM p")
 def indel_ratio(spark, d):
-    n = table(spark, d, "part").select(F.col("p_name").alias("x")).distinct()
+    n = E.bounded(table(spark, d, "part").select(F.col("p_name").alias("x")).distinct(), 5000)
     pairs = n.alias("a").join(F.broadcast(n.alias("b")), F.expr("a.x < b.x")).select(F.col("a.x").alias("a"), F.col("b.x").alias("b"))
     return pairs.select("a", "b", F.round(T.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 

@@ -108,6 +108,17 @@ def test_respelt_names(spark):
     assert {(r.q, r.doc_id) for r in M.searched(docs, q).collect()} == {("oliv oyl", 1), ("rice", 2), ("qqqqq oil", 1)}
 
 
+def test_stems_and_stop_words(spark):
+    from panier.functions.stem import stem
+
+    pairs = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit vietnamization:vietnam triplicate:triplic hopeful:hope goodness:good revival:reviv adjustment:adjust adoption:adopt probate:probat rate:rate controlling:control"
+    assert all(stem(a) == b for a, b in (p.split(":") for p in pairs.split())), [(a, stem(a)) for a, b in (p.split(":") for p in pairs.split()) if stem(a) != b]
+    docs = spark.createDataFrame([(1, "roasted peppers with oil"), (2, "pepper"), (3, "with rice")], "doc_id long, text string")
+    q = spark.createDataFrame([("roasting pepper with",)], "q string")
+    assert {r.doc_id for r in M.bm25(docs, q, stop=["with"], stem=True).collect()} == {1, 2}
+    assert {r.doc_id for r in M.bm25(docs, q).collect()} == {1, 2, 3}
+
+
 def test_profiles_of_clusters(spark):
     items = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1), (3, "c", 1)], "basket_id long, item string, n long")
     clusters = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "basket_id long, cluster long")
