@@ -6,7 +6,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Words that describe the state of an ingredient and not the ingredient.
-STATE_WORDS = "aged frozen fresh organic chopped ground cubed sliced cooked roasted dried fried fully flavored unflavored grated cold powdered plain".split()
+STATE_WORDS = [
+    "aged", "frozen", "fresh", "organic", "chopped", "ground", "cubed", "sliced", "cooked",
+    "roasted", "dried", "fried", "fully", "flavored", "unflavored", "grated", "cold", "powdered", "plain",
+]
 
 
 def clean(text: Column, state_words: list[str] | None = None) -> Column:
