@@ -5,14 +5,15 @@ a topological order (a result after its call, a call after the calls it names in
 can; arguments are validated against the tools' schemas; and each item is serialised as canonical JSON (keys sorted, no white space).
 
 The order is a key, (place, depth, turn): place is the largest turn among an item and what it depends on, depth counts dependencies
-within one place.  No conversation is ever gathered in one task.  Only what follows, directly or not, from a dependency that turns
-contradict is put in order, by layers: what waits for nothing is settled, round by round, and what is left in the end waits for a cycle.
-There are as many rounds as such a chain has items, however many conversations there are.
+within one place.  Where no dependency contradicts the turns they are the order.  Otherwise dependencies, without their texts, are put in
+order by layers, in tasks that take a bounded number: what waits for nothing is settled, and what is left in the end waits for a cycle.
+Small conversations share a task, which settles chains of any depth at once; one of more than ``BLOCK`` dependencies is divided by turns
+among tasks that work in rounds, as many as a chain has changes of task.
 
 Edge cases: repeated rows are one item with a count; a result without call is 'orphan', a call without result 'open', a second call of
 one identifier 'repeated'; what depends on a cycle is 'cycle' and keeps its turn; calls named in ``after`` that are not there are no
 dependencies; bad JSON and null or empty texts are plain messages, texts of any length are kept whole; a null conversation is one of its
-own; an empty table gives no rows; further columns are ignored.
+own; a null turn comes before all others; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ CALL = "array<struct<id:string,name:string,arguments:string,after:array<string>>
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 #: The tool that ``turns_as_calls`` speaks of.
 REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+#: Dependencies that a task puts in order at once (a chain of as many took 120 MB and 0.9 s): a conversation of more is divided.
+BLOCK = 1 << 18
+ORDER = "item binary, place long, depth int, cyclic boolean"
 
 
 def items(messages: DataFrame) -> DataFrame:
@@ -92,42 +96,99 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
-def _ordered(rows: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """item, place, depth, cyclic of the items that turns do not put in order; ``edges`` (parent, child, tp, tc)."""
-    wrong = common.written(edges.where("tp >= tc").select(F.col("child").alias("item")).distinct(), "contradictions")
-    if wrong.isEmpty():
-        return None
-    edges = common.written(edges, "dependencies")
-    # Everything that follows from an item out of place may move as well.
-    moved = last = wrong
-    while True:
-        follows = edges.join(last.withColumnRenamed("item", "parent"), "parent", "left_semi").select(F.col("child").alias("item")).distinct()
-        last = common.written(follows.join(moved, "item", "left_anti"), "follows")
-        if last.isEmpty():
-            break
-        moved = common.written(moved.unionByName(last), "moved")
-    inner = edges.join(moved.withColumnRenamed("item", "child"), "child", "left_semi").join(moved.select(F.col("item").alias("parent"), F.lit(True).alias("waits")), "parent", "left")
-    inner = common.written(inner, "inner")
-    own = F.struct(F.col("turn").alias("place"), F.lit(0).alias("depth"))
-    outer = inner.where("waits IS NULL").groupBy("child").agg(F.max(F.struct(F.col("tp").alias("place"), F.lit(1).alias("depth"))).alias("b"))
-    rest = rows.select("item", own.alias("s")).join(_hashed(moved), "item").join(_hashed(outer.withColumnRenamed("child", "item")), "item", "left")
-    rest = common.written(rest.select("item", F.greatest("s", F.coalesce("b", "s")).alias("s")), "rest")
-    waits = inner.where("waits").select("parent", "child")
-    settled = []
+def _layers(whole: bool):
+    """Settles what it can of a block's dependencies (parent, child, tc, place, depth), layer by layer, in a time linear in them.
+
+    place and depth are the parent's where it is settled already (depth null: not so).  ``whole``: a block depends on no other, so that
+    a parent which is no child has its own turn (in place) as place, what is not settled waits for a cycle, and only items that turns do
+    not put in order are returned.  Otherwise all settled ones are."""
+
+    def run(edges):
+        import pyarrow as pa
+
+        n, least = len(edges), float("-inf")  # a null turn comes before all others
+        ids = pa.concat_arrays([*edges["parent"].chunks, *edges["child"].chunks]).dictionary_encode()
+        at = ids.indices.to_pylist()
+        turns, places, depths = ([least if x is None else x for x in edges["tc"].to_pylist()], [least if x is None else x for x in edges["place"].to_pylist()], edges["depth"].to_pylist())
+        own: list = [None] * len(ids.dictionary)
+        for child, turn in zip(at[n:], turns, strict=True):
+            own[child] = (turn, 0)
+        state, waits, follow = own[:], [0] * len(own), {}
+        for parent, child, place, depth in zip(at[:n], at[n:], places, depths, strict=True):
+            if depth is None and not (whole and own[parent] is None):
+                follow.setdefault(parent, []).append(child)
+                waits[child] += 1
+            else:
+                state[child] = max(state[child], (place, (depth or 0) + 1))
+        settled: list[int] = []
+        layer = [x for x, s in enumerate(own) if s is not None and not waits[x]]
+        while layer:
+            settled += layer
+            after = []
+            for parent in layer:
+                place, depth = state[parent]
+                for child in follow.pop(parent, ()):
+                    state[child] = max(state[child], (place, depth + 1))
+                    waits[child] -= 1
+                    if not waits[child]:
+                        after.append(child)
+            layer = after
+        found = [(x, *state[x], False) for x in settled if not whole or state[x] != own[x]]
+        if whole:
+            found += [(x, *own[x], True) for x, w in enumerate(waits) if w]
+        which, place, depth, cyclic = zip(*found, strict=True) if found else ((),) * 4
+        return pa.table({
+            "item": ids.dictionary.take(pa.array(which, pa.int64())), "place": pa.array([None if x == least else x for x in place], pa.int64()),
+            "depth": pa.array(depth, pa.int32()), "cyclic": pa.array(cyclic, pa.bool_()),
+        })
+
+    return run
+
+
+def _in_blocks(edges: DataFrame, parts: int) -> DataFrame:
+    """As ``_ordered``, of conversations of any size: blocks are ranges of turns.  In each round a block settles all it can, and says so to
+    those that wait for it; there are as many rounds as a chain has changes of block, and only blocks with news take part."""
+    blocks = common.written(edges.repartitionByRange(parts, "conv", "tc", "child").withColumn("block", F.spark_partition_id()), "blocks")
+    children = blocks.select(F.col("child").alias("parent"), F.lit(True).alias("waits")).distinct()
+    first = blocks.join(_hashed(children), "parent", "left").withColumns({"place": F.when(F.col("waits").isNull(), F.col("tp")), "depth": F.when(F.col("waits").isNull(), F.lit(0))})
+    left = common.written(first.select("block", "parent", "child", "tc", "place", "depth", F.lit(True).alias("news")), "left")
+    settled: list[DataFrame] = []
     while True:
-        ready = common.written(rest.join(waits.select(F.col("child").alias("item")).distinct(), "item", "left_anti"), "ready")
-        if ready.isEmpty():
+        active = left.join(F.broadcast(left.where("news").select("block").distinct()), "block", "left_semi")
+        got = common.written(active.select("block", "parent", "child", "tc", "place", "depth").groupBy("block").applyInArrow(_layers(False), ORDER), "got")
+        if got.isEmpty():
             break
-        settled.append(ready)
+        settled.append(got)
+        known = got.select(F.col("item").alias("parent"), F.col("place").alias("p"), F.col("depth").alias("d"))
+        rest = left.join(_hashed(got.select(F.col("item").alias("child"))), "child", "left_anti").join(_hashed(known), "parent", "left")
+        news = F.col("d").isNotNull()
+        last, left = left, common.written(rest.select("block", "parent", "child", "tc", F.when(news, F.col("p")).otherwise(F.col("place")).alias("place"), F.coalesce("d", "depth").alias("depth"), news.alias("news")), "left")
+        common.done(last)
         if len(settled) > 16:
-            settled = [common.written(reduce(DataFrame.unionByName, settled), "settled")]
-        bound = waits.join(_hashed(ready.withColumnRenamed("item", "parent")), "parent").groupBy("child").agg(F.max(F.struct(F.col("s.place").alias("place"), (F.col("s.depth") + 1).alias("depth"))).alias("b"))
-        rest = rest.join(ready.select("item"), "item", "left_anti").join(_hashed(bound.withColumnRenamed("child", "item")), "item", "left")
-        rest = common.written(rest.select("item", F.greatest("s", F.coalesce("b", "s")).alias("s")), "rest")
-        waits = common.written(waits.join(ready.select(F.col("item").alias("parent")), "parent", "left_anti"), "waits")
-    cyclic = rows.join(rest.select("item"), "item", "left_semi").select("item", own.alias("s"), F.lit(True).alias("cyclic"))
-    done = [x.select("item", "s", F.lit(False).alias("cyclic")) for x in settled]
-    return reduce(DataFrame.unionByName, [cyclic, *done]).select("item", "s.place", "s.depth", "cyclic")
+            before, settled = settled, [common.written(reduce(DataFrame.unionByName, settled), "settled")]
+            common.done(*before)
+    cyclic = left.select(F.col("child").alias("item"), F.col("tc").alias("place"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic")).distinct()
+    return reduce(DataFrame.unionByName, [cyclic, *settled])
+
+
+def _ordered(edges: DataFrame) -> DataFrame | None:
+    """item, place, depth, cyclic of the items that turns do not put in order; ``edges`` (conv, parent, child, tp, tc)."""
+    spark = edges.sparkSession
+    common.tune(spark)
+    edges = common.written(edges, "dependencies")
+    sizes = edges.groupBy("conv").agg(F.count("*").alias("c"), F.max(F.expr("tc IS NULL OR tp >= tc")).alias("wrong"))
+    total, most, wrong = sizes.agg(F.sum("c"), F.max("c"), F.max("wrong")).first()
+    if not wrong:
+        return None
+    large = sizes.where(F.col("c") > BLOCK) if most > BLOCK else None  # no more than one for so many dependencies
+    small = edges if large is None else edges.join(F.broadcast(large.select("conv")), "conv", "left_anti")
+    n = max(-(-4 * total // BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    small = small.select(F.pmod(F.xxhash64("conv"), F.lit(n)).alias("block"), "parent", "child", "tc", F.col("tp").alias("place"), F.lit(None).cast("int").alias("depth"))
+    order = small.groupBy("block").applyInArrow(_layers(True), ORDER)
+    if large is None:
+        return order
+    many = edges.join(F.broadcast(large.where("wrong").select("conv")), "conv", "left_semi")
+    return order.unionByName(_in_blocks(many, -(-total // BLOCK)))
 
 
 def linked(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -141,8 +202,8 @@ def linked(rows: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) ->
     answered = rows.where("kind = 'result'").groupBy("conv", "call_id").agg(F.count("*").alias("results"))
     after = rows.where("kind = 'call'").select("conv", "item", "turn", F.explode("after").alias("call_id"))
     needs = rows.where("kind = 'result'").select("conv", "item", "turn", "call_id").unionByName(after).distinct()
-    edges = needs.join(_hashed(calls), ["conv", "call_id"]).select("parent", F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
-    order = _ordered(rows, edges)
+    edges = needs.join(_hashed(calls), ["conv", "call_id"]).select("conv", "parent", F.col("item").alias("child"), "tp", F.col("turn").alias("tc"))
+    order = _ordered(edges)
     out = rows.join(_hashed(calls.drop("tp")), ["conv", "call_id"], "left").join(_hashed(answered), ["conv", "call_id"], "left")
     if order is None:
         out = out.withColumns({"place": F.col("turn"), "depth": F.lit(0), "cyclic": F.lit(False)})

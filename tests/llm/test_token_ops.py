@@ -348,3 +348,41 @@ def test_chat_orders_deep_chains(spark):
     rows = [(1, t, "assistant", f'{{"tool_calls":[{{"id":"{n}","name":"add","arguments":"{{}}"' + (f',"after":["{names[i - 1]}"]' if i else "") + "}]}") for i, (n, t) in enumerate(zip(names, turns, strict=True))]
     got = chat.linked(chat.items(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), SCHEMA).collect()
     assert [r.call_id for r in sorted(got, key=lambda r: (r.place, r.depth, r.turn))] == list(names) and "cycle" not in {r.status for r in got}
+
+
+def chain(names, turns):
+    """Calls of one conversation, each after the one before it."""
+    call = '{{"tool_calls":[{{"id":"{}","name":"add","arguments":"{{}}","after":{}}}]}}'
+    return [(1, t, "assistant", call.format(x, f'["{names[i - 1]}"]' if i else "[]")) for i, (x, t) in enumerate(zip(names, turns, strict=True))]
+
+
+def test_chat_orders_long_conversations_at_once(spark, monkeypatch):
+    """A chain against the turns takes no more tables, and so no more of the driver, when it has more turns."""
+    made, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(name) or written(df, name))
+    names = [f"c{i}" for i in range(60)]
+    got = chat.linked(chat.items(spark.createDataFrame(chain(names, range(60, 0, -1)), "conv_id long, turn long, role string, text string")), SCHEMA).collect()
+    assert {r.call_id: (r.place, r.depth) for r in got} == {x: (60, i) for i, x in enumerate(names)} and "cycle" not in {r.status for r in got}
+    assert len(made) < 10
+
+
+def test_chat_orders_conversations_of_many_blocks(spark, monkeypatch):
+    """Conversations divided among tasks have the same order as undivided ones; a null turn comes before all others."""
+    import json
+    import random
+
+    rng = random.Random(8)
+    rows = chain([f"c{i}" for i in range(200)], range(200, 0, -1))  # in some twenty blocks, one after the other
+    for conv in range(2, 7):
+        for i in range(40):  # with cycles in every second one, and with items that are not divided
+            after = [f"c{rng.randrange(i or 1) if conv % 2 else rng.randrange(40)}" for _ in range(rng.choice([0, 1, 1, 2]) if i else 0)]
+            call = {"id": f"c{i}", "name": "add", "arguments": "{}", "after": after}
+            rows.append((conv, rng.choice([None, *range(9)]), "assistant", json.dumps({"tool_calls": [call]})))
+    rows += [(7, 2, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": "{}", "after": ["b"]}]})), (7, 3, "assistant", json.dumps({"tool_calls": [{"id": "b", "name": "add", "arguments": "{}"}]}))]
+    rows.append((7, None, "tool", json.dumps({"tool_call_id": "b", "content": "x"})))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda: sorted(((r.conv_id, r.kind, r.call_id, r.place, r.depth, r.status) for r in chat.linked(chat.items(df), SCHEMA).collect()), key=repr)
+    want = key()
+    assert {(7, "call", "a", 3, 1, "invalid"), (7, "result", "b", 3, 1, "ok")} <= set(want) and any(x[5] == "cycle" for x in want)
+    monkeypatch.setattr(chat, "BLOCK", 10)
+    assert key() == want
