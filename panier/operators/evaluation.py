@@ -122,9 +122,11 @@ def silhouette_capped(means: DataFrame) -> DataFrame:
 
 
 def separation(pairs: DataFrame) -> DataFrame:
-    """Mean distances within and between clusters and their ratio (infinite if within is 0)."""
+    """Mean distances within and between clusters and their ratio (infinite if within is 0), of pairs (ca, cb, d) or of means (ca, cb, m, n)."""
     same = F.col("ca") == F.col("cb")
-    m = pairs.agg(F.avg(F.when(same, F.col("d"))).alias("intra"), F.avg(F.when(~same, F.col("d"))).alias("inter"))
+    d, n = (F.col("m") * F.col("n"), F.col("n")) if "m" in pairs.columns else (F.col("d"), F.when(F.col("d").isNotNull(), 1))
+    mean = lambda w: F.try_divide(F.sum(F.when(w, d)), F.sum(F.when(w, n)))
+    m = pairs.agg(mean(same).alias("intra"), mean(~same).alias("inter"))
     return m.select("intra", "inter", F.when(F.col("intra") == 0, F.lit(float("inf"))).otherwise(F.col("inter") / F.col("intra")).alias("ratio"))
 
 

@@ -11,6 +11,7 @@ from ..operators import evaluation as E
 from ..operators import itemsets as I
 from ..operators import matching as M
 from ..operators import ml
+from ..operators import pairs as P
 from ..operators import similarity as S
 from ..operators.recommend import recommend
 from ..sources.readers import table
@@ -302,7 +303,7 @@ def silhouette_capped(spark, d):
 
 @query(f"WITH {sql_both(EUCLID)}, m AS (SELECT avg(CASE WHEN ca = cb THEN d END) AS intra, avg(CASE WHEN ca <> cb THEN d END) AS inter FROM bw) SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(inter / intra, 6) AS ratio FROM m")
 def intra_inter(spark, d):
-    out = E.separation(E.pair_table(vectors(spark, d), S.euclid))
+    out = E.separation(P.mean_distances(vectors(spark, d), S.euclid))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -314,11 +315,7 @@ def silhouette_jaccard(spark, d):
     b = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.concat_ws("/", "p_brand", "p_size")).alias("v"))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("cluster"))
 
-    def distance(x, y):
-        n = F.size(F.array_intersect(x, y))
-        return 1 - n / (F.size(x) + F.size(y) - n)
-
-    return E.silhouette(E.mean_distances(E.pair_table(b.join(s, "id"), distance))).select(F.round("silhouette", 6).alias("silhouette"), "points")
+    return E.silhouette(P.mean_distances(written(b.join(s, "id")), S.jaccard_distance)).select(F.round("silhouette", 6).alias("silhouette"), "points")
 
 
 LONG = f"{V}, lg AS (SELECT id, cluster, unnest(range(0, 64)) AS j, unnest(v) AS x FROM vx)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,48 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder of files that tasks write and read; it goes when the driver ends.  Executors find this package."""
+    path = f"{shared_folder(spark)}/panier/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    here, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+    return path
+
+
+def _local(uri: str) -> str | None:
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") or "://" not in uri else None
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Written under another name and renamed: a retried task replaces the file whole."""
+    half = f"{uri}.{uuid.uuid4().hex}.half"
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(_local(half), "wb") as f:
+            f.write(data)
+        os.replace(_local(half), path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(half)
+    with store.open_output_stream(path) as f:
+        f.write(data)
+    store.move(path, fs.FileSystem.from_uri(uri)[1])
+
+
+def get_file(uri: str) -> bytes:
+    if path := _local(uri):
+        with open(path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 @atexit.register
 def _clean() -> None:
     import shutil
