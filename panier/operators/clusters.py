@@ -84,12 +84,12 @@ def cut(tree: np.ndarray, n: int, clusters: int | None = None, height: float | N
     return out
 
 
-def small_clusters(points: DataFrame, least: int, how: str, distance=None, most: int = 5000) -> DataFrame:
+def small_clusters(points: DataFrame, least: int, how: str, distance=None) -> DataFrame:
     """id, cluster with clusters below ``least`` points handled: 'remove' (-1), 'outlier_class' (one more than the largest),
     'merge_nearest' (to the large cluster nearest on average), 'reassign' (each point to the large cluster of its nearest point).
 
     ``points`` (id, cluster, and v for the last two); ties go to the smaller cluster.  Only points of small clusters are compared, with
-    those of large ones: they go to every task, so more than ``most`` of them are refused."""
+    those of large ones, block against block."""
     n = points.groupBy("cluster").agg(F.count("*").alias("size"))
     p = points.join(n, "cluster")
     small = F.col("size") < least
@@ -100,15 +100,15 @@ def small_clusters(points: DataFrame, least: int, how: str, distance=None, most:
         return p.join(F.broadcast(top)).select("id", F.when(small, F.col("top")).otherwise(F.col("cluster")).alias("cluster"))
     if how not in ("merge_nearest", "reassign"):
         raise ValueError(f"no such way: {how}")
-    from .evaluation import bounded
+    from .pairs import across
 
-    few = bounded(p.where(small).select(F.col("id").alias("a"), F.col("cluster").alias("ca"), F.col("v").alias("va")), most)
-    many = p.where(~small).select(F.col("cluster").alias("cb"), F.col("v").alias("vb")).repartition(points.sparkSession.sparkContext.defaultParallelism)
-    d = many.join(F.broadcast(few)).select("a", "ca", "cb", distance(F.col("va"), F.col("vb")).alias("d"))
+    few, many = (p.where(w).select("id", "cluster", "v") for w in (small, ~small))
     if how == "merge_nearest":
-        to = d.groupBy("ca", "cb").agg(F.avg("d").alias("m")).groupBy("ca").agg(F.min_by("cb", F.struct(F.round("m", 9), F.col("cb"))).alias("to"))
+        d = across(few, many, distance, "mean")
+        to = d.groupBy("ca", "cb").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("m")).groupBy("ca").agg(F.min_by("cb", F.struct(F.round("m", 9), F.col("cb"))).alias("to"))
         return p.join(to.withColumnRenamed("ca", "cluster"), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
-    to = d.groupBy("a").agg(F.min_by("cb", F.struct(F.round("d", 9), F.col("cb"))).alias("to"))
+    d = across(few, many, distance, "least")
+    to = d.groupBy("a").agg(F.min_by("cb", F.struct(F.round("m", 9), F.col("cb"))).alias("to"))
     return p.join(to.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
 
 
