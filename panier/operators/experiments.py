@@ -11,6 +11,7 @@ from ..sources.scratch import written
 from . import clusters as C
 from . import evaluation as E
 from . import itemsets as I
+from . import pairs as P
 from . import similarity as S
 
 HIGHER = ("silhouette", "ch", "separation")
@@ -18,15 +19,15 @@ HIGHER = ("silhouette", "ch", "separation")
 
 def sweep_metrics(points: DataFrame, assigned: DataFrame, distance=None) -> DataFrame:
     """k, silhouette, ch, separation (mean distance between over within clusters) of several clusterings of ``points`` (id, v);
-    ``assigned`` (k, id, cluster).  One row a clustering, of which there are few; distances are computed once for all of them."""
-    pairs = written(E.pair_table(points.withColumn("cluster", F.lit(0)), distance or S.euclid).select("a", "b", "d"))
+    ``assigned`` (k, id, cluster).  One row a clustering, of which there are few; distances are computed once for all of them, block
+    against block, and only each point's means over clusters are kept."""
     assigned = written(assigned)
+    means = written(P.mean_distances_of(points, assigned, distance or S.euclid))
     out = []
     for (k,) in sorted(tuple(r) for r in assigned.select("k").distinct().collect()):  # a row a clustering
         own = assigned.where(F.col("k") == k).select("id", "cluster")
-        end = lambda e, own=own: own.select(F.col("id").alias(e), F.col("cluster").alias(f"c{e}"))
-        p = pairs.join(F.broadcast(end("a")), "a").join(F.broadcast(end("b")), "b")  # as many rows as points, which pair_table bounds
-        row = E.silhouette(E.mean_distances(p)).select("silhouette").join(E.calinski_harabasz(points.join(own, "id"))).join(E.separation(p).select(F.col("ratio").alias("separation")))
+        m = means.where(F.col("k") == k)
+        row = E.silhouette(m).select("silhouette").join(E.calinski_harabasz(points.join(own, "id"))).join(E.separation(m).select(F.col("ratio").alias("separation")))
         out.append(row.select(F.lit(k).alias("k"), "silhouette", "ch", "separation"))
     return reduce(DataFrame.unionByName, out)
 
