@@ -84,3 +84,19 @@ def test_blocks(spark, monkeypatch):
         assert abs(r.m - np.mean(d)) < 1e-9 * max(1, np.mean(d))
     with pytest.raises(ValueError):
         P.mean_distances(pts, lambda a, b: a)
+
+
+def test_average_linkage_in_rounds(spark):
+    """Rounds of mutual neighbours, then a matrix, against the matrix alone; some points are equal."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 3))
+    x[200:220] = x[7]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = C.linkage(300, [(i, j, d[i, j]) for i in range(300) for j in range(i + 1, 300)], "average")
+    points = spark.createDataFrame([(i * 3, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(4)
+    for most in (20, 1, 1000):
+        h, a, b = P.average_merges(points, S.euclid, most)
+        tree = C.ordered(zip(h, a, b, strict=True), 300)
+        assert len(tree) == 299 and np.allclose(tree[:, 2], want[:, 2])
+        parts = [{frozenset(np.flatnonzero(c == k)) for k in set(c)} for c in (C.cut(t, 300, clusters=40) for t in (tree, want))]
+        assert parts[0] == parts[1]
