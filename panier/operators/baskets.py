@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a task where a large table is dealt out; tables of up to FEW rows are left to the session's settings.
+ROWS, FEW = 400_000, 2_000_000
+
+
+def dealt(rows: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """Some ``n`` rows dealt by ``keys`` to a task for each ROWS of them, so that tasks become more, not larger, as tables grow."""
+    if n is None or n <= FEW:
+        return rows
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)), *keys)
+
+
 def normalised(item: Column) -> Column:
     return F.lower(F.trim(item))
 
 
-def basket_items(lines: DataFrame, basket: str, item: Column) -> DataFrame:
-    """basket_id, item, n (how often the basket has it); lines without an item are left out."""
-    return lines.select(F.col(basket).alias("basket_id"), item.alias("item")).where("item IS NOT NULL AND item <> ''").groupBy("basket_id", "item").agg(F.count("*").alias("n"))
+def basket_items(lines: DataFrame, basket: str, item: Column, n: int | None = None) -> DataFrame:
+    """basket_id, item, n (how often the basket has it); lines without an item are left out.  ``n``: about how many lines there are,
+    which are then dealt out by basket."""
+    return dealt(lines.select(F.col(basket).alias("basket_id"), item.alias("item")).where("item IS NOT NULL AND item <> ''"), n, "basket_id").groupBy("basket_id", "item").agg(F.count("*").alias("n"))
 
 
 def from_lists(rows: DataFrame, basket: str, items: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .baskets import dealt
 from .clusters import should_split
 
 
@@ -17,9 +18,10 @@ def token_mean(tokens: DataFrame, vectors: DataFrame, places: int = 20) -> DataF
     """id, v: the sum of the tokens' vectors over ``places``, whatever the number of tokens; unknown tokens are zeros.
 
     ``tokens`` (id, tokens), ``vectors`` (token, v)."""
-    x = tokens.select("id", F.explode_outer("tokens").alias("token")).join(vectors, "token", "left").select("id", F.posexplode_outer("v").alias("j", "x"))
-    s = x.groupBy("id", "j").agg((F.sum("x") / places).alias("x")).where("j IS NOT NULL")
-    v = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("s")).select("id", F.transform("s", lambda e: e["x"]).alias("v"))
+    x = dealt(tokens.select("id", F.explode("tokens").alias("token")).join(vectors, "token").select("id", "v"), 4 * tokens.count(), "id")  # wide rows
+    plus = lambda s, v: F.zip_with(s, v, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b))
+    s = x.groupBy("id").agg(F.collect_list("v").alias("l"))  # as long as a text
+    v = s.select("id", F.transform(F.aggregate(F.slice("l", 2, F.size("l")), F.element_at("l", 1), plus), lambda t: t / places).alias("v"))
     return tokens.select("id").join(v, "id", "left")
 
 
