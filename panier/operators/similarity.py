@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .baskets import dealt
+
 
 def overlaps(items: DataFrame, labels: DataFrame) -> DataFrame:
     """label, a, b, inter, na, nb for pairs of a label's baskets that share an item: a join on the item, not all pairs."""
@@ -37,11 +39,11 @@ def mean_by_label(items: DataFrame, labels: DataFrame, measure: Column) -> DataF
     return pair_totals(items, labels).join(s, "label", "left").select("label", "pairs", (F.coalesce("s", F.lit(0.0)) / F.col("pairs")).alias("mean"))
 
 
-def mean_cosine_by_label(items: DataFrame, labels: DataFrame) -> DataFrame:
+def mean_cosine_by_label(items: DataFrame, labels: DataFrame, n: int | None = None) -> DataFrame:
     """label, pairs, mean of the cosine over all pairs, without any pair: an item's baskets add half the square of their sum of
-    1 / sqrt(size), less the sum of squares."""
+    1 / sqrt(size), less the sum of squares.  ``n``: about how many rows ``items`` has."""
     f = items.select("basket_id", "item").distinct().join(labels, "basket_id")
-    x = f.join(f.groupBy("basket_id").agg(F.count("*").alias("size")), "basket_id")
+    x = dealt(f.select("label", "item", F.count("*").over(Window.partitionBy("basket_id")).alias("size")), n, "label", "item")
     one = 1 / F.sqrt(F.col("size").cast("double"))
     per = x.groupBy("label", "item").agg(((F.sum(one) ** 2 - F.sum(1 / F.col("size"))) / 2).alias("s"))
     s = per.groupBy("label").agg(F.sum("s").alias("s"))
@@ -56,13 +58,15 @@ def histogram_by_label(items: DataFrame, labels: DataFrame, measure: Column, bin
     return some.unionByName(rest).groupBy("label", "bin").agg(F.sum("count").alias("count"))
 
 
-def label_vectors(items: DataFrame, labels: DataFrame, weight: str = "binary") -> DataFrame:
-    """label, item, w: 1, or the share of the label's baskets."""
-    has = items.join(labels, "basket_id").groupBy("label", "item").agg(F.countDistinct("basket_id").alias("has"))
+def label_vectors(items: DataFrame, labels: DataFrame, weight: str = "binary", n: int | None = None) -> DataFrame:
+    """label, item, w: 1, or the share of the label's baskets.  ``n``: about how many rows ``items`` has, of many items; all that follows
+    is by item."""
+    rows = dealt(items.select("basket_id", "item").join(labels.select("basket_id", "label").distinct(), "basket_id").select("label", "item"), n, "item")
+    has = rows.groupBy("label", "item").agg(F.count("*").alias("has"))  # a basket has a row an item
     if weight == "binary":
         return has.select("label", "item", F.lit(1.0).alias("w"))
-    n = labels.groupBy("label").agg(F.countDistinct("basket_id").alias("baskets"))
-    return has.join(n, "label").select("label", "item", (F.col("has") / F.col("baskets")).alias("w"))
+    baskets = labels.groupBy("label").agg(F.countDistinct("basket_id").alias("baskets"))
+    return has.join(F.broadcast(baskets), "label").select("label", "item", (F.col("has") / F.col("baskets")).alias("w"))
 
 
 def label_cosine(vectors: DataFrame) -> DataFrame:

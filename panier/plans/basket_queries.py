@@ -10,6 +10,7 @@ from ..operators import groups as G
 from ..operators import itemsets as I
 from ..operators import similarity as S
 from ..sources.readers import table
+from ..sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,12 +34,16 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
 
+def line_count(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "lineitem").count()
+
+
 def items(spark: SparkSession, d: str, expr: str = "p_name") -> DataFrame:
-    return B.basket_items(lines(spark, d), "l_orderkey", F.expr(expr))
+    return B.basket_items(lines(spark, d), "l_orderkey", F.expr(expr), line_count(spark, d))
 
 
 def part_items(spark: SparkSession, d: str) -> DataFrame:
-    return B.basket_items(table(spark, d, "lineitem"), "l_orderkey", F.col("l_partkey").cast("string"))
+    return B.basket_items(table(spark, d, "lineitem"), "l_orderkey", F.col("l_partkey").cast("string"), line_count(spark, d))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +206,8 @@ def select_balanced(spark, d):
 
 
 def _sets(spark, d):
-    return I.select_top_support(I.pairs_set(items(spark, d, WORD), LEAST), 20).select(F.array_join("items", " + ").alias("itemset"), "items", (F.col("count") / basket_count(spark, d)).alias("support"))
+    """20 rows, written: so they go to the baskets, not the baskets to them, and are mined once."""
+    return written(I.select_top_support(I.pairs_set(items(spark, d, WORD), LEAST), 20).select(F.array_join("items", " + ").alias("itemset"), "items", (F.col("count") / basket_count(spark, d)).alias("support")))
 
 
 HELD = SUPPORT + ", held AS (SELECT a.basket_id, a.item || ' + ' || b.item AS itemset FROM bi a JOIN bi b ON a.basket_id = b.basket_id AND a.item < b.item WHERE a.item || ' + ' || b.item IN (SELECT itemset FROM r WHERE rank <= 20)) "
@@ -303,7 +309,7 @@ def jaccard_mean_by_label(spark, d):
 
 @query(OVERLAP + " SELECT label, any_value(pairs) AS pairs, round(sum(inter / sqrt(na * nb)) / any_value(pairs), 9) AS mean FROM m JOIN t USING (label) GROUP BY 1")
 def cosine_mean_by_label(spark, d):
-    return S.mean_cosine_by_label(part_items(spark, d), labels(spark, d)).withColumn("mean", F.round("mean", 9))
+    return S.mean_cosine_by_label(part_items(spark, d), labels(spark, d), line_count(spark, d)).withColumn("mean", F.round("mean", 9))
 
 
 @query(OVERLAP + ", h AS (SELECT label, least(floor(inter / (na + nb - inter) * 10 + 1e-9), 9)::BIGINT AS bin, count(*) AS c FROM m GROUP BY 1, 2), u AS (SELECT label, bin, c FROM h UNION ALL SELECT t.label, 0, pairs - coalesce((SELECT sum(c) FROM h WHERE h.label = t.label), 0) FROM t) SELECT label, bin, sum(c)::BIGINT AS count FROM u GROUP BY 1, 2")
@@ -316,7 +322,7 @@ BINARY, FREQUENCY = COS.format(w="1.0::DOUBLE"), COS.format(w="h / b")
 
 
 def _sim(spark, d, weight="binary"):
-    return S.label_cosine(S.label_vectors(part_items(spark, d), nations(spark, d), weight))
+    return S.label_cosine(S.label_vectors(part_items(spark, d), nations(spark, d), weight, line_count(spark, d)))
 
 
 @query(BINARY + " SELECT a, b, round(sim, 6) AS sim FROM s")
