@@ -55,7 +55,8 @@ def k_sweep(points: DataFrame, most: int, method: str = "average", distance=None
 
 def agreement(assigned: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ari, nmi, purity (mean over clusters) of several clusterings (keys, id, cluster) against labels (id, label)."""
-    rows = assigned.join(labels.where("label IS NOT NULL AND lower(label) <> 'unknown'"), "id")
+    # Labels are as many as points: a file that packs well is not taken for a small table and sent to every task through the driver.
+    rows = assigned.join(labels.where("label IS NOT NULL AND lower(label) <> 'unknown'").hint("merge"), "id")
     c = rows.groupBy(*keys, "cluster", "label").agg(F.count("*").cast("double").alias("c"))
     c = c.withColumns({"x": F.sum("c").over(Window.partitionBy(*keys, "cluster")), "y": F.sum("c").over(Window.partitionBy(*keys, "label"))})
     half = lambda v: F.sum(F.col("c") * (F.col(v) - 1) / 2)
