@@ -63,6 +63,61 @@ def bm25(docs: DataFrame, queries: DataFrame, k: float = 1.2, b: float = 0.0, st
     return x.groupBy("q", "doc_id").agg(F.sum(idf * tf).alias("score")).where("score > 0")
 
 
+#: Terms times queries at most whose weights go to every task.
+CELLS = 20_000_000
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cells: int | None = None) -> DataFrame:
+    """q, doc_id, score, rank: the k best documents of each query by ``bm25``, ties by doc_id.
+
+    A document's scores for all queries are a row of a product of matrices, and a task keeps the k best of each query: no row a document
+    and query is made.  Beyond CELLS weights of terms in queries they are made by joins."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..sources.scratch import folder, written
+
+    order = (F.desc(F.round("score", 9)), F.col("doc_id"))
+    each = queries.select("q", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("q"), "[^a-z]+", " "), " "))).alias("term")).where("term <> ''").distinct()
+    size = each.agg(F.countDistinct("term"), F.countDistinct("q")).first()
+    if size[0] * size[1] > (CELLS if cells is None else cells):
+        return top(bm25(docs, queries), ["q"], k, *order)
+    folder(docs.sparkSession, "bm25")  # executors find this package
+    rows = each.toArrow()
+    terms, texts = (rows.column(c).combine_chunks().dictionary_encode() for c in ("term", "q"))
+    vocabulary = terms.dictionary
+    p = written(postings(docs, F.broadcast(each.select("term").distinct())).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("l")))
+    n = docs.count()
+    df = dict(map(tuple, p.select(F.explode("l.term").alias("term")).groupBy("term").count().collect()))  # a row a term of the queries
+    df = np.array([df.get(t, 0) for t in vocabulary.to_pylist()], float)
+    idf = np.log10((n - df + 0.5) / (df + 0.5) + 1)
+    m = np.zeros((len(vocabulary), len(texts.dictionary)))
+    m[terms.indices.to_numpy(), texts.indices.to_numpy()] = idf[terms.indices.to_numpy()]
+
+    def run(batches):
+        best = [(np.empty(0), np.empty(0, np.int64))] * m.shape[1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                ids, l = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                flat, of = l.flatten(), np.repeat(np.arange(len(l)), l.value_lengths().to_numpy(zero_copy_only=False))
+                tf = flat.field(1).to_numpy().astype(float)
+                w = np.zeros((len(l), len(vocabulary)))
+                w[of, pa.compute.index_in(flat.field(0), vocabulary).to_numpy()] = tf * 2.2 / (tf + 1.2)
+                scores = w @ m
+                least = np.array([s[-1] if len(s) == k else 0.0 for s, _ in best])
+                for j in np.flatnonzero((scores > np.maximum(0, least - 2e-9)).any(0)):
+                    some = scores[:, j] > max(0.0, least[j] - 2e-9)
+                    s, i = np.concatenate([best[j][0], scores[some, j]]), np.concatenate([best[j][1], ids[some]])
+                    first = np.lexsort((i, -np.round(s, 9)))[:k]
+                    best[j] = s[first], i[first]
+        for j, (s, i) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_pydict({"q": pa.array([texts.dictionary[j].as_py()] * len(s)), "doc_id": pa.array(i), "score": pa.array(s)})
+
+    return top(p.where("doc_id IS NOT NULL").mapInArrow(run, "q string, doc_id long, score double"), ["q"], k, *order)
+
+
 def top(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 

@@ -47,3 +47,13 @@ def test_token_means_keep_vectors_whole(spark):
     got = ml.token_mean(tok, vec, 2)
     assert {r.id: r.v for r in got.collect()} == {1: [2.5, 2.0], 2: None, 3: None, 4: [1.5, None]}
     assert "posexplode" not in plan(got)  # no row a dimension
+
+
+def test_best_documents_without_all_pairs(spark):
+    from panier.operators import matching as M
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + i * j % 9)}" for j in range(i % 5 + 1)) + " the") for i in range(40)] + [(3, "wb wb"), (99, "")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([("the wa",), ("wb, wc wd",), ("zzz",), ("",)], "q string")
+    key = lambda df: sorted((r.q, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    got = M.bm25_top(docs, queries, 4)
+    assert "SortMergeJoin" not in plan(got) and key(got) == key(M.bm25_top(docs, queries, 4, cells=0)) and len(key(got)) == 8
