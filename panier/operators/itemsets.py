@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .baskets import dealt
 
 
 def item_counts(items: DataFrame, multiset: bool, least: int) -> DataFrame:
@@ -20,20 +21,25 @@ def item_counts(items: DataFrame, multiset: bool, least: int) -> DataFrame:
     return items.groupBy("item").agg(c.alias("count")).where(F.col("count") >= least).select(F.array("item").alias("items"), F.lit(1).alias("k"), "count")
 
 
+def _small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table for a join: to every task if it has few rows, however many files it has."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _frequent(items: DataFrame, level1: DataFrame) -> DataFrame:
     return items.join(level1.select(F.col("items")[0].alias("item")), "item", "left_semi")
 
 
 def pairs_set(items: DataFrame, least: int) -> DataFrame:
     """Baskets that hold both of two frequent items: a self-join on the basket with map-side counts."""
-    f = _frequent(items, item_counts(items, False, least)).select("basket_id", "item")
+    f = _frequent(items, _small(written(item_counts(items, False, least)))).select("basket_id", "item")
     both = f.alias("a").join(f.alias("b"), "basket_id").where("a.item < b.item")
     return both.groupBy(F.col("a.item").alias("x"), F.col("b.item").alias("y")).agg(F.count("*").alias("count")).where(F.col("count") >= least).select(F.array("x", "y").alias("items"), F.lit(2).alias("k"), "count")
 
 
 def pairs_multiset(items: DataFrame, least: int, dedupe_self_pairs: bool = False) -> DataFrame:
     """Products of multiplicities; a pair of one item with itself counts n (n - 1), or half of that with ``dedupe_self_pairs``."""
-    f = _frequent(items, item_counts(items, True, least))
+    f = _frequent(items, _small(written(item_counts(items, True, least))))
     both = f.alias("a").join(f.alias("b"), "basket_id").where("a.item <= b.item")
     same = F.col("a.n") * (F.col("a.n") - 1)
     c = F.when(F.col("a.item") == F.col("b.item"), F.floor(same / 2) if dedupe_self_pairs else same).otherwise(F.col("a.n") * F.col("b.n")).cast("long")
@@ -99,15 +105,19 @@ def counted(made: DataFrame, k: int, multiset: bool, least: int) -> DataFrame:
 
 def mine(items: DataFrame, least: int, most: int = 5, multiset: bool = False) -> DataFrame:
     """All levels up to ``most``; stops when one is empty.  Each level, and where its itemsets occur, is a written table, as the next is
-    built on it."""
+    built on it; of the last level only the counts are kept."""
     items = written(items)
+    items = dealt(items, items.count(), "basket_id")
     level1 = written(item_counts(items, multiset, least))
-    levels, frequent, made = [level1], _frequent(items, level1), first_level(items, level1)
+    levels, frequent, made = [level1], _frequent(items, _small(level1)), first_level(items, _small(level1))
     for k in range(2, most + 1):
         if k == 2:  # pairs are counted without being kept
             level, made = (pairs_multiset if multiset else pairs_set)(items, least), _grown(made, frequent, multiset)
         else:
-            made = written(_grown(made.join(levels[-1].select("items"), "items", "left_semi"), frequent, multiset).join(candidates(levels[-1], k, multiset), "items", "left_semi"))
+            wanted = _small(written(candidates(levels[-1], k, multiset)))
+            made = _grown(made.join(_small(levels[-1]).select("items"), "items", "left_semi"), frequent, multiset).join(wanted, "items", "left_semi")
+            if k < most:
+                made = written(made)
             level = counted(made, k, multiset, least)
         level = written(level)
         if level.isEmpty():

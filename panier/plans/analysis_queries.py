@@ -16,7 +16,7 @@ from ..operators import similarity as S
 from ..operators.recommend import recommend
 from ..sources.readers import table
 from ..sources.scratch import written
-from .basket_queries import HELD, LEAST, WORD, _sets, bi, items, labels
+from .basket_queries import HELD, LEAST, WORD, _sets, _words, bi, items, labels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,8 +91,8 @@ def sql_bm25(docs: str, doc_id: str, text: str, q: str = "q") -> str:
 
 @query(f"WITH bq AS (SELECT DISTINCT text AS q FROM benchmark), {sql_bm25('documents', 'doc_id', 'text', 'bq')}, r AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0) SELECT md5(q) AS q, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    found = M.bm25(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("text").alias("q")).distinct())
-    return M.top(found, ["q"], 5, F.desc(F.round("score", 9)), F.col("doc_id")).select(F.md5("q").alias("q"), "doc_id", F.round("score", 6).alias("score"), "rank")
+    found = M.bm25_top(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("text").alias("q")).distinct(), 5)
+    return found.select(F.md5("q").alias("q"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def sql_ratio(a: str, b: str) -> str:
@@ -270,8 +270,9 @@ def latest_per_label(spark, d):
 
 @query(HELD + ", bl AS (SELECT o_orderkey AS basket_id, o_orderpriority AS label FROM orders), c AS (SELECT itemset, label, count(*) AS c FROM held JOIN bl USING (basket_id) GROUP BY 1, 2), p AS (SELECT itemset, c / sum(c) OVER (PARTITION BY itemset) AS p, sum(c) OVER (PARTITION BY itemset) AS n FROM c), h AS (SELECT itemset, any_value(n) AS n, -sum(p * log2(p)) AS h FROM p GROUP BY 1) SELECT itemset, round(count / total, 6) AS support, round(1 - h / log2(5), 6) AS disc, round(0.7 * (1 - h / log2(5)) + 0.3 * count / total, 6) AS score FROM h JOIN r USING (itemset) WHERE n >= 5 AND count / total BETWEEN 0.02 AND 0.6")
 def discrimination_score(spark, d):
-    sets = _sets(spark, d)
-    out = E.discrimination(I.containment(items(spark, d, WORD), sets), labels(spark, d), sets)
+    x = _words(spark, d)
+    sets = _sets(spark, d, x)
+    out = E.discrimination(I.containment(x, sets), labels(spark, d), sets)
     return out.select("itemset", *[F.round(c, 6).alias(c) for c in ("support", "disc", "score")])
 
 
@@ -369,7 +370,8 @@ def stratified_sample(spark, d):
 @query(HELD + ", cl AS (SELECT o_orderkey AS basket_id, o_orderstatus AS cluster FROM orders), m AS (SELECT cluster, itemset, count(*) AS c FROM held JOIN cl USING (basket_id) GROUP BY 1, 2), z AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), f AS (SELECT cluster, itemset, c / n AS mean, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, itemset) AS rank, max((c / n > 0.1)::INT) OVER (PARTITION BY cluster) AS anyhit FROM m JOIN z USING (cluster)) SELECT cluster, itemset, round(mean, 6) AS mean, rank FROM f WHERE (anyhit = 1 AND mean > 0.1) OR (anyhit = 0 AND rank <= 5)")
 def cluster_profile(spark, d):
     c = table(spark, d, "orders").select(F.col("o_orderkey").alias("basket_id"), F.col("o_orderstatus").alias("cluster"))
-    return C.profile(I.containment(items(spark, d, WORD), _sets(spark, d)), c).withColumn("mean", F.round("mean", 6))
+    x = _words(spark, d)
+    return C.profile(I.containment(x, _sets(spark, d, x)), c).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {LONG}, s AS (SELECT j, avg(x) AS m, stddev_pop(x) AS sd FROM lg GROUP BY 1) SELECT id, j, round(CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0 END, 6) AS z FROM lg JOIN s USING (j)")
@@ -412,7 +414,8 @@ QUERY_ITEMS = ["blue", "cold", "old"]
 )
 def recommend_baskets(spark, d):
     c = table(spark, d, "orders").select(F.col("o_orderkey").alias("basket_id"), F.col("o_orderstatus").alias("cluster"))
-    x, sets = items(spark, d, WORD), _sets(spark, d)
+    x = _words(spark, d)
+    sets = _sets(spark, d, x)
     return recommend(QUERY_ITEMS, x, I.containment(x, sets), sets, c)
 
 

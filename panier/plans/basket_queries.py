@@ -205,9 +205,15 @@ def select_balanced(spark, d):
     return I.select_balanced(I.pairs_set(items(spark, d, WORD), LEAST), 20).select(F.array_join("items", " + ").alias("itemset"), "count", "half")
 
 
-def _sets(spark, d):
+def _words(spark, d):
+    """Items for queries that pass over them several times: joined and counted once."""
+    x = written(items(spark, d, WORD))
+    return B.dealt(x, x.count(), "basket_id")
+
+
+def _sets(spark, d, x):
     """20 rows, written: so they go to the baskets, not the baskets to them, and are mined once."""
-    return written(I.select_top_support(I.pairs_set(items(spark, d, WORD), LEAST), 20).select(F.array_join("items", " + ").alias("itemset"), "items", (F.col("count") / basket_count(spark, d)).alias("support")))
+    return written(I.select_top_support(I.pairs_set(x, LEAST), 20).select(F.array_join("items", " + ").alias("itemset"), "items", (F.col("count") / basket_count(spark, d)).alias("support")))
 
 
 HELD = SUPPORT + ", held AS (SELECT a.basket_id, a.item || ' + ' || b.item AS itemset FROM bi a JOIN bi b ON a.basket_id = b.basket_id AND a.item < b.item WHERE a.item || ' + ' || b.item IN (SELECT itemset FROM r WHERE rank <= 20)) "
@@ -215,7 +221,8 @@ HELD = SUPPORT + ", held AS (SELECT a.basket_id, a.item || ' + ' || b.item AS it
 
 @query(HELD + "SELECT basket_id, itemset FROM held")
 def itemset_containment(spark, d):
-    return I.containment(items(spark, d, WORD), _sets(spark, d))
+    x = _words(spark, d)
+    return I.containment(x, _sets(spark, d, x))
 
 
 @query(f"WITH {bi()}, best AS (SELECT item FROM bi GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 20), f AS (SELECT * FROM bi WHERE item IN (FROM best)) SELECT a.item AS x, b.item AS y, sum(a.n * b.n)::BIGINT AS count FROM f a JOIN f b ON a.basket_id = b.basket_id AND a.item <> b.item GROUP BY 1, 2")

@@ -14,7 +14,7 @@ from ..sources import readers
 from ..sources.readers import table
 from ..sources.scratch import shared_folder
 from .analysis_queries import ALL, CT, V, _all, segments, vectors
-from .basket_queries import BL, HELD, LEAST, PAIRS, PAIRS_M, WORD, _sets, basket_count, bi, items, labels
+from .basket_queries import BL, HELD, LEAST, PAIRS, PAIRS_M, WORD, _sets, _words, basket_count, bi, items, labels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,7 +142,8 @@ def itemsets_union_sizes(spark, d):
 
 @query(HELD + ", nb AS (SELECT count(DISTINCT basket_id) AS baskets FROM bi), ns AS (SELECT count(*) AS itemsets FROM r WHERE rank <= 20), o AS (SELECT count(*) AS ones FROM (SELECT DISTINCT * FROM held)) SELECT baskets, itemsets, ones, round(1 - ones / (baskets::DOUBLE * itemsets), 6) AS sparsity FROM nb, ns, o")
 def feature_sparsity(spark, d):
-    x, sets = items(spark, d, WORD), _sets(spark, d)
+    x = _words(spark, d)
+    sets = _sets(spark, d, x)
     return rounded(I.sparsity(I.containment(x, sets), x, sets), "sparsity")
 
 
@@ -182,7 +183,8 @@ def cluster_sample_head(spark, d):
     "SELECT array_to_string(list_filter(x.l, lambda v: list_contains(y.l, v)), '; ') AS common, array_to_string(list_filter(x.l, lambda v: NOT list_contains(y.l, v)), '; ') AS only_one, array_to_string(list_filter(y.l, lambda v: NOT list_contains(x.l, v)), '; ') AS only_two FROM x, y"
 )
 def cluster_differences(spark, d):
-    p = C.profile(I.containment(items(spark, d, WORD), _sets(spark, d)), status(spark, d), least=2.0)
+    x = _words(spark, d)
+    p = C.profile(I.containment(x, _sets(spark, d, x)), status(spark, d), least=2.0)
     return C.differences(p, "F", "P").select(*[F.array_join(c, "; ").alias(c) for c in ("common", "only_one", "only_two")])
 
 
