@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of a task where a large table is dealt out; tables of up to FEW rows are left to the session's settings.
-ROWS, FEW = 400_000, 2_000_000
+ROWS, FEW = 100_000, 2_000_000
 
 
 def dealt(rows: DataFrame, n: int | None, *keys: str) -> DataFrame:
